@@ -180,3 +180,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = prints.join(classes, "fp", "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 4, width: int = 5) -> DataFrame:
+    """The rows of ``df`` that stay when each group of near copies keeps its smallest id.
+
+    Rows with a null id stay. Of rows that share the kept id, only those with its first
+    fingerprint's lowest text hash stay: one row. All columns of ``df`` are returned.
+    """
+    groups = near_duplicates(df, id_col, text_col, t, width).where("id is not null")
+    kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
+    plain = df.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias("_kept"))
+    twice = plain.join(repeated, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    once = plain.join(repeated, F.col(id_col) == F.col("_kept"), "left_anti")
+    return once.unionByName(twice).unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)
