@@ -1,4 +1,571 @@
-"""The library's queries over the driver's tables, and the SQL that they are held against."""
+"""The library's queries over the driver's tables, and the DuckDB SQL that they are held against.
 
-QUERIES: dict = {}
+Series are events by user in the order (ts, event_id); x is the value, missing on every
+seventh id. Doubles are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronofold.functions import scalar
+from chronofold.operators import events as ev
+from chronofold.operators import fold as fd
+from chronofold.operators import indicators as ix
+from chronofold.operators import memory as mem
+from chronofold.operators import series as ts
+from chronofold.operators import sync as sy
+from chronofold.sources import tables
+from chronofold.streaming import keyed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+S = ts.Series()
+
+E = "e AS (SELECT event_id, user_id, ts, event_type, value, CASE WHEN event_id % 7 <> 3 THEN value END AS x FROM events)"
+W = "PARTITION BY user_id ORDER BY ts, event_id"
+U = f"{W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def x() -> Column:
+    return F.col("x")
+
+
+def v() -> Column:
+    return F.col("value")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; a short ``sql`` is a list of columns over the events."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql if " FROM " in sql.upper() and sql.lstrip().upper().startswith(("WITH", "SELECT")) else f"WITH {E} SELECT event_id, {sql} FROM e"
+        return f
+
+    return register
+
+
+def over_events(name: str, make: Callable[[], dict[str, Column]], sql: str) -> None:
+    """A query whose columns are windows or scalars over the events."""
+    query(name, sql)(lambda spark, d: tables.events(spark, d).select("event_id", *[c.alias(n) for n, c in make().items()]))
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def picked(df: DataFrame, *names: str, keep: str = "event_id") -> DataFrame:
+    return df.select(keep, *[r6(n).alias(n) for n in names])
+
+
+def recursive(state: dict[str, tuple[str, str]], out: str, value: str = "r.x", more: str = "", kind: dict[str, str] | None = None, where: str = "") -> str:
+    """A fold in SQL: state column -> (start, step); the step sees f (state before) and r (the row)."""
+    kind = kind or {}
+    cast = lambda c, e: f"CAST({e} AS {kind.get(c, 'DOUBLE')}) AS {c}"
+    start = ", ".join(cast(c, a) for c, (a, _) in state.items())
+    step = ", ".join(cast(c, b) for c, (_, b) in state.items())
+    return (
+        f"WITH RECURSIVE {E}, r AS (SELECT *, row_number() OVER ({W}) AS i FROM e{more}), "
+        f"f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, {start} FROM (SELECT DISTINCT user_id FROM e) UNION ALL "
+        f"SELECT r.user_id, r.i, {step} FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1) "
+        f"SELECT r.event_id, {out} FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i {where}"
+    )
+
+
+# ---- T1: rows before, fills, frames, scalars ---------------------------------------------------
+
+over_events("lag_1", lambda: {"y": S.lag(x())}, f"lag(x) OVER ({W}) AS y")
+over_events("lag_2", lambda: {"y": S.lag(v(), 2, 0.0)}, f"lag(value, 2, 0) OVER ({W}) AS y")
+over_events("tree_lag", lambda: {"a": S.lag(x()), "b": S.lag(F.col("event_type"))}, f"lag(x) OVER ({W}) AS a, lag(event_type) OVER ({W}) AS b")
+over_events("diff", lambda: {"y": r6(S.diff(x()))}, f"round(x - lag(x) OVER ({W}), 6) AS y")
+over_events("ffill", lambda: {"y": S.ffill(x())}, f"last_value(x IGNORE NULLS) OVER ({U}) AS y")
+over_events("counter", lambda: {"n": S.counter()}, f"row_number() OVER ({W}) AS n")
+over_events("has_changed", lambda: {"y": S.has_changed(F.col("event_type"))}, f"(row_number() OVER ({W}) = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER ({W})) AS y")
+over_events("has_changed_missing", lambda: {"y": S.has_changed(x())}, f"(row_number() OVER ({W}) = 1 OR x IS NULL OR x IS DISTINCT FROM lag(x) OVER ({W})) AS y")
+over_events("rolling_mean", lambda: {"y": r6(S.rolling_mean(x(), 10))}, f"round(avg(x) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS y")
+over_events("rolling_mean_minp", lambda: {"y": r6(S.rolling_mean(x(), 5, 5))}, f"round(CASE WHEN count(x) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 5 THEN avg(x) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END, 6) AS y")
+over_events("expanding_mean", lambda: {"y": r6(S.expanding_mean(x()))}, f"round(avg(x) OVER ({U}), 6) AS y")
+over_events("cumulative_regret", lambda: {"y": r6(S.cumulative((v() - 50.0) * (v() - 50.0)))}, f"round(sum((value - 50) * (value - 50)) OVER ({U}), 6) AS y")
+over_events("multi_projection", lambda: {"fast": r6(S.rolling_mean(x(), 3)), "slow": r6(S.rolling_mean(x(), 30)), "twice": r6(v() * 2)}, f"round(avg(x) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS fast, round(avg(x) OVER ({W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS slow, round(value * 2, 6) AS twice")
+over_events("apply_mask", lambda: {"y": ts.apply_mask(F.col("event_type") == "purchase", v())}, "CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS y")
+over_events("fill_nan_inf", lambda: {"y": ts.fill_nan_inf(F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 1, F.lit(float("inf"))).otherwise(x()))}, "CASE WHEN event_id % 5 IN (0, 1) THEN 0 ELSE coalesce(x, 0) END AS y")
+over_events("floor_datetime", lambda: {"day": scalar.floor_datetime(F.col("ts")), "hour": scalar.floor_datetime(F.col("ts"), "hour")}, "CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour")
+over_events("encode_int64", lambda: dict(zip(("high", "low"), scalar.encode_int64(F.col("event_id") * 7_000_000_019))), "(event_id * 7000000019) // 4294967296 AS high, (event_id * 7000000019) % 4294967296 AS low")
+over_events("clip", lambda: {"y": scalar.clip(v(), 10.0, 60.0)}, "greatest(least(value, 60.0), 10.0) AS y")
+over_events("conditional_passthrough", lambda: {"y": ev.conditional(v() > 50, v() * 2, v())}, "CASE WHEN value > 50 THEN value * 2 ELSE value END AS y")
+over_events("hierarchical_blend", lambda: {"y": r6(ev.blend(v(), S.expanding_mean(v())))}, f"round(0.9 * value + 0.1 * avg(value) OVER ({U}), 6) AS y")
+over_events("position_sizing", lambda: {"y": r6(ix.position_size((v() - 50) / 40))}, "round(sign((value - 50) / 40) * least(abs((value - 50) / 40), 1.0) * 0.02, 6) AS y")
+over_events("lookback_pairs", lambda: {"target": F.array_join(F.transform(S.buffer(v(), 3, -1.0), lambda a: F.round(a, 2).cast("decimal(18,2)").cast("string")), ","), "before": S.lag(v())}, f"concat_ws(',', {', '.join(f'CAST(CAST(round(lag(value, {k}, -1.0) OVER ({W}), 2) AS DECIMAL(18,2)) AS VARCHAR)' for k in (2, 1, 0))}) AS target, lag(value) OVER ({W}) AS before")
+over_events("buffer", lambda: {f"b{k}": F.get(S.buffer(x(), 4), F.lit(k)) for k in range(4)}, ", ".join(f"lag(x, {3 - k}) OVER ({W}) AS b{k}" for k in range(4)))
+over_events("sparse_window_filter", lambda: {"missing": F.size(F.filter(S.buffer(x(), 8), lambda a: a.isNull())).cast("long")}, f"8 - count(x) OVER ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS missing")
+over_events("conditional_signal", lambda: {"y": r6(F.coalesce(F.last(F.when(v() > 80, v()), ignorenulls=True).over(S.so_far()), F.lit(-999.0)))}, f"round(coalesce(last_value(CASE WHEN value > 80 THEN value END IGNORE NULLS) OVER ({U}), -999), 6) AS y")
+
+
+@query("value_threshold", "SELECT event_id, value FROM events WHERE value > 75")
+def _(spark, d):
+    return tables.table(spark, d, "events").where("value > 75").select("event_id", "value")
+
+
+@query("step_interval", f"SELECT event_id, n FROM (SELECT event_id, row_number() OVER ({W}) AS n FROM events) WHERE n % 10 = 0")
+def _(spark, d):
+    return tables.events(spark, d).select("event_id", S.counter().alias("n")).where("n % 10 = 0")
+
+
+@query("skip_first", f"SELECT event_id, value FROM (SELECT *, row_number() OVER ({W}) AS n FROM events) WHERE n > 1")
+def _(spark, d):
+    return tables.events(spark, d).withColumn("n", S.counter()).where("n > 1").select("event_id", "value")
+
+
+@query("stop_after_n", f"SELECT event_id, value FROM (SELECT *, row_number() OVER ({W}) AS n FROM events) WHERE n <= 3")
+def _(spark, d):
+    return tables.events(spark, d).withColumn("n", S.counter()).where("n <= 3").select("event_id", "value")
+
+
+@query("train_valid_split", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' ELSE 'valid' END AS part FROM events")
+def _(spark, d):
+    before = F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz")
+    return tables.table(spark, d, "events").select("event_id", F.when(before, "train").otherwise("valid").alias("part"))
+
+
+@query("pct_change", f"WITH {E}, f AS (SELECT *, last_value(x IGNORE NULLS) OVER ({U}) AS f FROM e), p AS (SELECT *, lag(f) OVER ({W}) AS p FROM f) SELECT event_id, round(CASE WHEN x IS NULL AND p IS NOT NULL THEN 0 WHEN p <> 0 THEN x / p - 1 END, 6) AS y FROM p")
+def _(spark, d):
+    return picked(S.pct_change(tables.events(spark, d), "x", "y"), "y")
+
+
+@query("ohlc_trailing", f"WITH {E} SELECT event_id, first_value(x IGNORE NULLS) OVER ({U}) AS open, max(x) OVER ({U}) AS high, min(x) OVER ({U}) AS low, last_value(x IGNORE NULLS) OVER ({U}) AS close FROM e")
+def _(spark, d):
+    return S.ohlc(tables.events(spark, d), "x").select("event_id", "open", "high", "low", "close")
+
+
+_BAR = "PARTITION BY user_id, bar ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+@query("ohlc_daily", f"WITH {E}, b AS (SELECT *, date_trunc('day', ts) AS bar FROM e) SELECT event_id, first_value(x IGNORE NULLS) OVER ({_BAR}) AS open, max(x) OVER ({_BAR}) AS high, min(x) OVER ({_BAR}) AS low, last_value(x IGNORE NULLS) OVER ({U}) AS close FROM b")
+def _(spark, d):
+    e = tables.events(spark, d).withColumn("day", scalar.floor_datetime(F.col("ts")))
+    return S.ohlc(e, "x", S.has_changed(F.col("day"))).select("event_id", "open", "high", "low", "close")
+
+
+@query("label_encode", "WITH l AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, code FROM events JOIN l USING (event_type)")
+def _(spark, d):
+    return scalar.label_encode(tables.table(spark, d, "events"), "event_type", "code").select("event_id", "code")
+
+
+@query("min_max_scale", "WITH s AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY user_id) SELECT event_id, round((value - lo) / nullif(hi - lo, 0), 6) AS y FROM events JOIN s USING (user_id)")
+def _(spark, d):
+    e = tables.table(spark, d, "events")
+    s = e.where(F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz")).groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return e.join(s, "user_id").select("event_id", r6(scalar.min_max_scale(v(), F.col("lo"), F.col("hi"))).alias("y"))
+
+
+# ---- aggregates ------------------------------------------------------------------------------------
+
+
+@query("per_step_sum", "SELECT date_trunc('hour', ts) AS step, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def _(spark, d):
+    return tables.table(spark, d, "events").groupBy(scalar.floor_datetime(F.col("ts"), "hour").alias("step")).agg(r6(F.sum("value")).alias("total"))
+
+
+@query("batch_mean", f"WITH {E}, m AS (SELECT row_number() OVER ({W}) AS step, avg(x) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS y FROM e) SELECT step, round(avg(y), 6) AS y FROM m GROUP BY step")
+def _(spark, d):
+    e = tables.events(spark, d).select(S.counter().alias("step"), S.rolling_mean(x(), 5).alias("y"))
+    return e.groupBy("step").agg(r6(F.avg("y")).alias("y"))
+
+
+def _masked(name: str, make: Callable[[], Column], sql: str) -> None:
+    @query(name, f"WITH {E} SELECT user_id, round({sql}, 6) AS y FROM e GROUP BY user_id")
+    def _(spark, d):
+        return tables.events(spark, d).groupBy("user_id").agg(r6(make()).alias("y"))
+
+
+_mask = lambda: F.col("event_type").isin("view", "click")
+_Z = "CASE WHEN event_type IN ('view', 'click') THEN coalesce(x, 0) END"
+_masked("mask_mean", lambda: ts.mask_mean(_mask(), x()), f"avg({_Z})")
+_masked("mask_std", lambda: ts.mask_std(_mask(), x()), f"stddev_pop({_Z})")
+_masked("mask_std_centered", lambda: ts.mask_std(_mask(), x(), True), f"sqrt(avg({_Z} * {_Z}))")
+
+
+@query("mask_normalize", f"WITH {E}, s AS (SELECT user_id, stddev_pop({_Z}) AS sd FROM e GROUP BY user_id) SELECT event_id, round(coalesce(x / nullif(sd, 0), 0), 6) AS y FROM e JOIN s USING (user_id)")
+def _(spark, d):
+    return picked(ts.mask_normalize(tables.events(spark, d), "user_id", _mask(), x(), "y"), "y")
+
+
+# ---- exponentially weighted ------------------------------------------------------------------------
+
+
+def _ewma_sql(alpha: float, adjust=True, ignore_na=False, least=0, initial=None, column="x") -> str:
+    com = 1 / alpha - 1
+    q, new = com / (1 + com), 1.0 if adjust else alpha
+    c = f"r.{column}"
+    if adjust == "linear":
+        decayed = f"CASE WHEN f.m IS NULL THEN 0 ELSE least(f.w, {com!r}) END"
+    else:
+        factor = f"CASE WHEN {c} IS NULL THEN 1 ELSE {q!r} END" if ignore_na else repr(q)
+        decayed = f"CASE WHEN f.m IS NULL THEN 0 ELSE f.w * {factor} END"
+    state = {
+        "m": ("NULL" if initial is None else repr(initial), f"CASE WHEN {c} IS NULL THEN f.m WHEN f.m IS NULL THEN {c} ELSE (({decayed}) * f.m + {new!r} * {c}) / (({decayed}) + {new!r}) END"),
+        "w": ("1", f"CASE WHEN {c} IS NULL THEN {decayed} ELSE {f'({decayed}) + {new!r}' if adjust else '1'} END"),
+        "n": ("0", f"f.n + CASE WHEN {c} IS NULL THEN 0 ELSE 1 END"),
+    }
+    return recursive(state, f"round(CASE WHEN f.n >= {least} THEN f.m END, 6) AS y")
+
+
+def _ewma(name: str, column: str = "x", **how) -> None:
+    sql = _ewma_sql(how["alpha"], how.get("adjust", True), how.get("ignore_na", False), how.get("min_periods", 0), how.get("initial"), column)
+    query(name, sql)(lambda spark, d: picked(S.ewma(tables.events(spark, d), column, "y", **how), "y"))
+
+
+_ewma("ewma_adjust", alpha=0.1)
+_ewma("ewma_noadjust", alpha=0.1, adjust=False)
+_ewma("ewma_ignore_na", alpha=0.2, ignore_na=True)
+_ewma("ewma_noadjust_ignore_na", alpha=0.2, adjust=False, ignore_na=True)
+_ewma("ewma_min_periods", alpha=0.1, min_periods=5)
+_ewma("ewma_init", alpha=0.1, initial=2.0)
+_ewma("ewma_noadjust_init", alpha=0.1, adjust=False, initial=2.0)
+_ewma("ewma_linear", column="value", alpha=0.1, adjust="linear")
+
+
+def _ewmvar_sql(alpha: float, adjust: bool) -> str:
+    com = 1 / alpha - 1
+    q, new = com / (1 + com), 1.0 if adjust else alpha
+    w = f"CASE WHEN f.a IS NULL THEN 0 WHEN r.x IS NULL THEN f.w ELSE f.w * {q!r} END"
+    mean = lambda c, e: f"CASE WHEN r.x IS NULL THEN f.{c} WHEN f.{c} IS NULL THEN {e} ELSE (({w}) * f.{c} + {new!r} * {e}) / (({w}) + {new!r}) END"
+    state = {"a": ("NULL", mean("a", "r.x")), "b": ("NULL", mean("b", "(r.x * r.x)")), "w": ("1", f"CASE WHEN r.x IS NULL THEN {w} ELSE {f'({w}) + {new!r}' if adjust else '1'} END")}
+    return recursive(state, "round(coalesce(greatest(f.b - f.a * f.a, 0), 0), 6) AS y")
+
+
+for _name, _adjust in (("ewmvar", True), ("ewmvar_noadjust", False)):
+    query(_name, _ewmvar_sql(0.2, _adjust))(lambda spark, d, a=_adjust: picked(S.ewmvar(tables.events(spark, d), "x", "y", alpha=0.2, adjust=a), "y"))
+
+_COV = f"WITH {E}, r AS (SELECT *, value * 0.5 + event_id % 13 AS z, row_number() OVER ({W}) AS i FROM e), m AS (SELECT a.event_id, sum(b.value * pow(0.9, a.i - b.i)) / sum(pow(0.9, a.i - b.i)) AS mx, sum(b.z * pow(0.9, a.i - b.i)) / sum(pow(0.9, a.i - b.i)) AS mz, sum(b.value * b.z * pow(0.9, a.i - b.i)) / sum(pow(0.9, a.i - b.i)) AS mxz FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id) SELECT event_id, round("
+for _name, _centered, _sql in (("ewmcov", False, "mxz - mx * mz"), ("ewmcov_centered", True, "mxz")):
+    query(_name, _COV + _sql + ", 5) AS y FROM m")(lambda spark, d, c=_centered: S.ewmcov(tables.events(spark, d).withColumn("z", v() * 0.5 + F.col("event_id") % 13), "value", "z", "y", alpha=0.1, assume_centered=c).select("event_id", F.round("y", 5).alias("y")))
+
+
+@query("ewma_warm_start", _ewma_sql(0.1))
+def _(spark, d):
+    """Two halves, the second started from the first one's final states."""
+    e = tables.events(spark, d).withColumn("late", F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    step = fd.ewma_step(alpha=0.1)
+
+    def carrying(state, row):
+        if state is None:
+            state = (float(row[1]), float(row[2]), int(row[3])) if row[3] >= 0 else fd.ewma_start()()
+        (y,), state = step(state, row[:1])
+        return (y, *state), state
+
+    out = "y double, mean double, weight double, n long"
+    blank = {"mean0": F.lit(None).cast("double"), "weight0": F.lit(None).cast("double"), "n0": F.lit(-1).cast("long")}
+    inputs = ["x", "mean0", "weight0", "n0"]
+    early = fd.fold(e.where("not late").withColumns(blank), ["user_id"], ["ts", "event_id"], inputs, carrying, lambda: None, out)
+    carry = fd.final_state(early, ["user_id"], ["ts", "event_id"]).select("user_id", F.col("mean").alias("mean0"), F.col("weight").alias("weight0"), F.col("n").alias("n0"))
+    late = e.where("late").join(carry, "user_id", "left").withColumn("n0", F.coalesce("n0", F.lit(-1).cast("long")))
+    rest = fd.fold(late, ["user_id"], ["ts", "event_id"], inputs, carrying, lambda: None, out)
+    return picked(early.unionByName(rest), "y")
+
+
+@query("streaming_ewma", _ewma_sql(0.1, column="value"))
+def _(spark, d):
+    schema = tables.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(d)
+    folded = keyed.fold_stream(stream, "user_id", ["ts", "event_id"], ["value"], fd.ewma_step(alpha=0.1), fd.ewma_start(), "y double")
+    return picked(keyed.drain(folded), "y")
+
+
+# ---- stream synchronisation --------------------------------------------------------------------------
+
+_LOCAL = "l AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase')"
+_SEC = "s AS (SELECT event_id AS sid, ts AS sts, value AS sv FROM events WHERE event_type = 'error')"
+
+
+def _local(spark, d) -> DataFrame:
+    return tables.table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "ts")
+
+
+def _errors(spark, d, **how) -> sy.Secondary:
+    s = tables.table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("sid"), F.col("ts").alias("sts"), F.col("value").alias("sv"))
+    return sy.Secondary("err", s, ("sid", "sv"), time="sts", order=("sid",), **how)
+
+
+@query("sync_asof_ffill", f"WITH {_LOCAL}, {_SEC} SELECT event_id, sid, sv FROM l ASOF LEFT JOIN s ON l.ts > s.sts")
+def _(spark, d):
+    return sy.synchronise(_local(spark, d), [_errors(spark, d)]).select("event_id", "err.sid", "err.sv")
+
+
+_NEW = "CASE WHEN sid IS DISTINCT FROM lag(sid) OVER (ORDER BY ts, event_id) THEN {} END"
+
+
+@query("sync_asof_nofill", f"WITH {_LOCAL}, {_SEC}, m AS (SELECT * FROM l ASOF LEFT JOIN s ON l.ts > s.sts) SELECT event_id, {_NEW.format('sid')} AS sid, {_NEW.format('sv')} AS sv FROM m")
+def _(spark, d):
+    return sy.synchronise(_local(spark, d), [_errors(spark, d, ffill=False)]).select("event_id", "err.sid", "err.sv")
+
+
+_THREE = "SELECT *, lag(sid) OVER (ORDER BY sts, sid) AS s2, lag(sid, 2) OVER (ORDER BY sts, sid) AS s3 FROM s"
+
+
+@query("sync_buffered", f"WITH {_LOCAL}, {_SEC}, t AS ({_THREE}), m AS (SELECT * FROM l ASOF LEFT JOIN t ON l.ts > t.sts) SELECT event_id, {_NEW.format('s3')} AS b0, {_NEW.format('s2')} AS b1, {_NEW.format('sid')} AS b2 FROM m")
+def _(spark, d):
+    got = sy.synchronise(_local(spark, d), [_errors(spark, d, ffill=False, buffer=3)])
+    return got.select("event_id", *[F.get("err", F.lit(k))["sid"].alias(f"b{k}") for k in range(3)])
+
+
+_DAILY = "g AS (SELECT date_trunc('day', ts) AS day, avg(value) AS mean FROM events GROUP BY 1)"
+
+
+def _daily(spark, d, **how) -> sy.Secondary:
+    g = tables.table(spark, d, "events").groupBy(scalar.floor_datetime(F.col("ts")).alias("day")).agg(F.avg("value").alias("mean"))
+    return sy.Secondary("daily", g, ("mean",), time="day", freq="day", **how)
+
+
+@query("sync_freq_day", f"WITH {_DAILY} SELECT event_id, round(mean, 6) AS mean FROM (SELECT event_id, date_trunc('day', ts) AS cut FROM events) e ASOF LEFT JOIN g ON e.cut > g.day")
+def _(spark, d):
+    e = tables.table(spark, d, "events").select("event_id", "ts")
+    return sy.synchronise(e, [_daily(spark, d)]).select("event_id", r6("daily.mean").alias("mean"))
+
+
+@query("sync_multi", f"WITH {_LOCAL}, {_SEC}, {_DAILY}, m AS (SELECT *, date_trunc('day', ts) AS cut FROM l ASOF LEFT JOIN s ON l.ts > s.sts) SELECT event_id, sid, round(mean, 6) AS mean FROM m ASOF LEFT JOIN g ON m.cut > g.day")
+def _(spark, d):
+    got = sy.synchronise(_local(spark, d), [_errors(spark, d), _daily(spark, d)])
+    return got.select("event_id", "err.sid", r6("daily.mean").alias("mean"))
+
+
+@query("sync_by_key", "WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id AS sid, user_id, ts AS sts FROM events WHERE event_type = 'view') SELECT event_id, sid FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.ts > s.sts")
+def _(spark, d):
+    e = tables.table(spark, d, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("sid"), F.col("ts").alias("sts"))
+    local = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return sy.synchronise(local, [sy.Secondary("view", views, ("sid",), time="sts", order=("sid",), key=("user_id",))]).select("event_id", "view.sid")
+
+
+# ---- events, resets, machines ---------------------------------------------------------------------------
+
+
+@query("update_on_event", f"WITH {E}, m AS (SELECT event_id, sum(value) OVER ({U}) AS s FROM e WHERE event_type = 'purchase') SELECT event_id, round(coalesce(last_value(s IGNORE NULLS) OVER ({U}), -999), 6) AS y FROM e LEFT JOIN m USING (event_id)")
+def _(spark, d):
+    module = lambda df, s: df.withColumn("y", s.cumulative(v()))
+    return picked(ev.update_on_event(tables.events(spark, d), S, F.col("event_type") == "purchase", module, "y", -999.0), "y")
+
+
+@query("update_on_event_output_only", f"WITH {E}, m AS (SELECT *, CASE WHEN event_type = 'purchase' THEN sum(value) OVER ({U}) END AS s FROM e) SELECT event_id, round(coalesce(last_value(s IGNORE NULLS) OVER ({U}), -999), 6) AS y FROM m")
+def _(spark, d):
+    e = tables.events(spark, d).withColumn("s", S.cumulative(v()))
+    return picked(ev.cache_on_event(e, S, F.col("event_type") == "purchase", F.col("s"), "y", -999.0), "y")
+
+
+@query("scan_with_reset", f"WITH {E}, g AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM e) SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS y FROM g")
+def _(spark, d):
+    module = lambda df, s: df.withColumn("y", s.cumulative(v()))
+    return picked(ev.scan_with_reset(tables.events(spark, d), S, F.col("event_type") == "error", module), "y")
+
+
+@query("volume_breakout", f"WITH {E}, m AS (SELECT *, CASE WHEN value > 80 THEN avg(value) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS s FROM e) SELECT event_id, round(coalesce(last_value(s IGNORE NULLS) OVER ({U}), 0), 6) AS y FROM m")
+def _(spark, d):
+    e = tables.events(spark, d).withColumn("s", S.rolling_mean(v(), 20))
+    return picked(ev.cache_on_event(e, S, v() > 80, F.col("s"), "y", 0.0), "y")
+
+
+@query("compose_pipeline", f"WITH {E}, a AS (SELECT *, last_value(x IGNORE NULLS) OVER ({U}) AS f FROM e), b AS (SELECT *, avg(f) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM a) SELECT event_id, round(m - lag(m) OVER ({W}), 6) AS y FROM b")
+def _(spark, d):
+    steps = (lambda df: df.withColumn("f", S.ffill(x())), lambda df: df.withColumn("m", S.rolling_mean(F.col("f"), 5)), lambda df: df.withColumn("y", S.diff(F.col("m"))))
+    return picked(ev.compose(tables.events(spark, d), *steps), "y")
+
+
+def _folded(spark, d, inputs, machine, outputs, **how) -> DataFrame:
+    step, start = machine
+    return fd.fold(tables.events(spark, d), ["user_id"], ["ts", "event_id"], inputs, step, start, outputs, **how)
+
+
+@query("state_machine", recursive({"s": ("'calm'", "CASE WHEN f.s = 'calm' AND r.value > 80 THEN 'hot' WHEN f.s = 'hot' AND r.value < 30 THEN 'calm' ELSE f.s END"), "y": ("0", "CASE WHEN f.s = 'calm' THEN r.value ELSE 2 * r.value END")}, "f.y AS y, f.s AS state", kind={"s": "VARCHAR"}))
+def _(spark, d):
+    machine = fd.state_machine({"calm": lambda a: a, "hot": lambda a: 2 * a}, [("calm", "hot", lambda a: a > 80), ("hot", "calm", lambda a: a < 30)], "calm")
+    return _folded(spark, d, ["value"], machine, "y double, state string").select("event_id", "y", "state")
+
+
+@query("state_change", recursive({"y": ("0", "CASE WHEN f.l IS NULL OR abs(r.value - f.l) > 20 THEN 1 ELSE 0 END"), "l": ("NULL", "CASE WHEN f.l IS NULL OR abs(r.value - f.l) > 20 THEN r.value ELSE f.l END")}, "f.y = 1 AS y"))
+def _(spark, d):
+    return _folded(spark, d, ["value"], fd.change_detector(20.0), "y boolean").select("event_id", "y")
+
+
+# ---- memories ----------------------------------------------------------------------------------------------
+
+
+@query("downsample_buffer", f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) AS i FROM e), k AS (SELECT event_id, value AS b1, lag(value, 1, 0) OVER ({W}) AS b0 FROM r WHERE i % 2 = 0) SELECT event_id, last_value(b0 IGNORE NULLS) OVER ({U}) AS b0, last_value(b1 IGNORE NULLS) OVER ({U}) AS b1 FROM e LEFT JOIN k USING (event_id)")
+def _(spark, d):
+    got = mem.downsampled(tables.events(spark, d), S, "value", 4, 2, "b")
+    return got.select("event_id", F.get("b", F.lit(0)).alias("b0"), F.get("b", F.lit(1)).alias("b1"))
+
+
+@query("cms_sketch", "WITH i AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) * 10 AS item FROM events), h AS (SELECT * FROM (VALUES (0, 31, 17), (1, 37, 23), (2, 41, 29), (3, 43, 31)) t(h, a, b)), p AS (SELECT user_id, item, h, (a * item + b) % 1024 AS bucket FROM i CROSS JOIN h), c AS (SELECT user_id, h, bucket, count(*) AS n FROM p GROUP BY ALL) SELECT user_id, item, min(n) AS estimate FROM (SELECT DISTINCT * FROM p) JOIN c USING (user_id, h, bucket) GROUP BY user_id, item")
+def _(spark, d):
+    cents = F.round(v() * 100).cast("long") / 100
+    return mem.sketch(tables.events(spark, d), "user_id", F.round(cents * 1000) / 1000 + 1e-7)
+
+
+@query("buffer_quantiles", f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) AS i FROM e), q AS (SELECT a.event_id, quantile_cont(coalesce(b.value, 0), 0.5) AS m, quantile_cont(coalesce(b.value, 0), 0.9) AS n FROM r a CROSS JOIN range(0, 20) g(k) LEFT JOIN r b ON b.user_id = a.user_id AND b.i = a.i - g.k WHERE a.i % 10 = 0 GROUP BY a.event_id) SELECT event_id, round(last_value(m IGNORE NULLS) OVER ({U}), 6) AS q50, round(last_value(n IGNORE NULLS) OVER ({U}), 6) AS q90 FROM e LEFT JOIN q USING (event_id)")
+def _(spark, d):
+    return picked(mem.quantiles(tables.events(spark, d), S, "value", 20), "q50", "q90")
+
+
+@query("hierarchical_buffer")
+def _(spark, d):
+    return picked(mem.hierarchical(tables.events(spark, d), S, "value"), "recent", "medium_ewma", "long_median")
+
+
+# ---- filters, learners, feedback ---------------------------------------------------------------------------------
+
+
+@query("arma", recursive({"y": ("0", "r.value / 100 + 0.3 * f.e + 0.2 * f.y1 + 0.5 * f.y"), "y1": ("0", "f.y"), "e": ("0", "r.value / 100")}, "round(f.y, 6) AS y"))
+def _(spark, d):
+    step, start = fd.arma([0.2, 0.5], [0.3])
+    e = tables.events(spark, d).withColumn("eps", v() / 100)
+    return picked(fd.fold(e, ["user_id"], ["ts", "event_id"], ["eps"], step, start, "y double"), "y")
+
+
+over_events("ma_filter", lambda: {"y": r6(v() + 0.3 * S.lag(v(), 2, 0.0) - 0.2 * S.lag(v(), 1, 0.0))}, f"round(value + 0.3 * lag(value, 2, 0) OVER ({W}) - 0.2 * lag(value, 1, 0) OVER ({W}), 6) AS y")
+over_events("snarimax_features", lambda: {f"y{k}": S.lag(v(), k) for k in (1, 2, 3)}, ", ".join(f"lag(value, {k}) OVER ({W}) AS y{k}" for k in (1, 2, 3)))
+
+
+@query("snarimax_forecast")
+def _(spark, d):
+    step, start = fd.snarimax(2, 1, 0, fd.newton(0.3))
+    e = tables.events(spark, d).withColumn("y", v() / 100)
+    return picked(fd.fold(e, ["user_id"], ["ts", "event_id"], ["y"], step, start, "guess double, error double"), "guess", "error")
+
+
+_PAIR = {"a": f"coalesce(lag(value) OVER ({W}), 0) / 100", "b": "value / 100"}
+
+
+def _pairs(spark, d) -> DataFrame:
+    return tables.events(spark, d).withColumn("a", F.coalesce(S.lag(v()), F.lit(0.0)) / 100).withColumn("b", v() / 100)
+
+
+def _linreg_sql(rate: float, projected: bool = False) -> str:
+    low, high = ("greatest(least(", ", 0.4), -0.4)") if projected else ("", "")
+    g = "(r.value / 100 - (f.w * r.a + f.c))"
+    state = {"p": ("0", "f.w * r.a + f.c"), "w": ("0", f"{low}f.w + {2 * rate!r} * {g} * r.a{high}"), "c": ("0", f"{low}f.c + {2 * rate!r} * {g}{high}")}
+    return recursive(state, "round(f.p, 6) AS guess, round(f.w, 6) AS w0, round(f.c, 6) AS w1").replace("SELECT *, row_number()", f"SELECT *, {_PAIR['a']} AS a, row_number()", 1)
+
+
+@query("online_linreg_sgd", _linreg_sql(0.05))
+def _(spark, d):
+    step, start = fd.online_regression(1, fd.sgd(0.05))
+    out = "guess double, loss double, w0 double, w1 double"
+    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, out), "guess", "w0", "w1")
+
+
+@query("online_optimizer_projected", _linreg_sql(0.05, True))
+def _(spark, d):
+    step, start = fd.online_regression(1, fd.sgd(0.05), project=lambda w: w.clip(-0.4, 0.4))
+    out = "guess double, loss double, w0 double, w1 double"
+    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, out), "guess", "w0", "w1")
+
+
+@query("online_linreg_newton")
+def _(spark, d):
+    step, start = fd.online_regression(1, fd.newton(0.5))
+    out = "guess double, loss double, w0 double, w1 double"
+    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, out), "guess", "w0", "w1")
+
+
+_SCALE = {"y": ("0", "f.s * r.a"), "s": ("1", "f.s - 0.1 * 2 * (f.s * r.a - r.value / 100) * r.a")}
+
+
+@query("streaming_optimizer_scale", recursive(_SCALE, "round(f.y, 6) AS y, round(f.s, 6) AS scale").replace("SELECT *, row_number()", f"SELECT *, {_PAIR['a']} AS a, row_number()", 1))
+def _(spark, d):
+    step, start = fd.scale_optimiser(0.1)
+    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, "y double, scale double"), "y", "scale")
+
+
+def _scanned(spark, d) -> DataFrame:
+    """Mean loss of every rate: the grid multiplies the keys, so the folds run side by side."""
+
+    rates = F.explode(F.array(F.lit(0.01), F.lit(0.1), F.lit(0.5))).alias("rate")
+    grid = _pairs(spark, d).select("*", rates)
+
+    def step(state, row):
+        s, out, y, rate = state, float(row[0]), float(row[1]), float(row[2])
+        return ((s * out - y) ** 2,), s - rate * 2 * (s * out - y) * out
+
+    losses = fd.fold(grid, ["user_id", "rate"], ["ts", "event_id"], ["a", "b", "rate"], step, lambda: 1.0, "loss double")
+    return losses.groupBy("rate").agg(F.avg("loss").alias("loss"))
+
+
+_GRID = f"WITH RECURSIVE {E}, r AS (SELECT *, {_PAIR['a']} AS a, row_number() OVER ({W}) AS i FROM e), f AS (SELECT user_id, rate, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS l, CAST(1 AS DOUBLE) AS s FROM (SELECT DISTINCT user_id FROM e) CROSS JOIN (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) g(rate) UNION ALL SELECT r.user_id, f.rate, r.i, CAST(pow(f.s * r.a - r.value / 100, 2) AS DOUBLE), CAST(f.s - f.rate * 2 * (f.s * r.a - r.value / 100) * r.a AS DOUBLE) FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1), t AS (SELECT rate, avg(l) AS loss FROM f WHERE i > 0 GROUP BY rate) "
+
+
+@query("hparam_scan", _GRID + "SELECT rate, round(loss, 6) AS loss FROM t")
+def _(spark, d):
+    return picked(_scanned(spark, d), "loss", keep="rate")
+
+
+@query("best_hparam", _GRID + "SELECT arg_min(rate, loss) AS rate, round(min(loss), 6) AS loss FROM t")
+def _(spark, d):
+    return _scanned(spark, d).agg(F.min_by("rate", "loss").alias("rate"), r6(F.min("loss")).alias("loss"))
+
+
+_FEED = {
+    "rw": ("NULL", "CASE WHEN f.a IS NULL THEN NULL ELSE f.a * (0.5 * (r.value / 100 + f.a)) END"),
+    "o": ("NULL", "CASE WHEN f.a IS NULL THEN r.value / 100 ELSE 0.5 * (r.value / 100 + f.a) END"),
+    "a": ("NULL", "CASE WHEN f.a IS NULL THEN r.value / 100 + 1 ELSE 0.5 * (r.value / 100 + f.a) + 1 END"),
+}
+
+
+def _feedback(spark, d, skip_first: bool) -> DataFrame:
+    def env(action, raw):
+        obs = 0.5 * (raw + action)
+        return action * obs, obs
+
+    step, start = fd.feedback(lambda obs: obs + 1, env)
+    e = tables.events(spark, d).withColumn("raw", v() / 100)
+    return fd.fold(e, ["user_id"], ["ts", "event_id"], ["raw"], step, start, "reward double, obs double, action double", skip_first=skip_first)
+
+
+@query("gym_feedback", recursive(_FEED, "round(f.rw, 6) AS reward, round(f.o, 6) AS obs, round(f.a, 6) AS action", where="WHERE r.i > 1"))
+def _(spark, d):
+    return picked(_feedback(spark, d, True), "reward", "obs", "action")
+
+
+@query("gym_linreg_regret", f"WITH g AS ({recursive(_FEED, 'r.user_id, r.ts, f.rw AS reward', where='WHERE r.i > 1')}) SELECT event_id, round(sum(1 - reward) OVER ({U}), 6) AS regret FROM g")
+def _(spark, d):
+    got = _feedback(spark, d, True)
+    return picked(got.withColumn("regret", S.cumulative(1 - F.col("reward"))), "regret")
+
+
+# ---- indicators ------------------------------------------------------------------------------------------------------
+
+
+@query("bollinger")
+def _(spark, d):
+    return picked(ix.bollinger(tables.events(spark, d), S, "value"), "middle", "upper", "lower", "position")
+
+
+def _weighted(c: str, alpha: float) -> str:
+    return f"sum(b.{c} * pow({1 - alpha!r}, a.i - b.i)) / sum(pow({1 - alpha!r}, a.i - b.i))"
+
+
+ORACLE_SQL["bollinger"] = f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) AS i, CASE WHEN count(value) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 1 THEN stddev_pop(value) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) ELSE 0 END AS sd FROM e), m AS (SELECT a.event_id, any_value(a.value) AS value, any_value(a.sd) AS sd, {_weighted('value', 2 / 21)} AS mid FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id) SELECT event_id, round(mid, 6) AS middle, round(mid + 2 * sd, 6) AS upper, round(mid - 2 * sd, 6) AS lower, round(CASE WHEN 4 * sd > 1e-8 THEN (value - (mid - 2 * sd)) / (4 * sd) ELSE 0.5 END, 6) AS position FROM m"
+
+
+@query("macd", f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) AS i FROM e), m AS (SELECT a.event_id, a.user_id, a.i, {_weighted('value', 2 / 13)} - {_weighted('value', 2 / 27)} AS macd FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id, a.user_id, a.i), s AS (SELECT a.event_id, any_value(a.macd) AS macd, {_weighted('macd', 2 / 10)} AS signal FROM m a JOIN m b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id) SELECT event_id, round(macd, 6) AS macd, round(signal, 6) AS signal, round(macd - signal, 6) AS histogram FROM s")
+def _(spark, d):
+    return picked(ix.macd(tables.events(spark, d), S, "value"), "macd", "signal", "histogram")
+
+
+@query("signal_processor")
+def _(spark, d):
+    return picked(ix.signal_processor(tables.events(spark, d), S, "value"), "signal")
+
+
+@query("trading_system")
+def _(spark, d):
+    e = ix.bollinger(tables.events(spark, d), S, "value")
+    e = ix.macd(e.drop("middle", "upper", "lower"), S, "value")
+    e = ev.cache_on_event(e, S, v() > 80, F.col("histogram"), "breakout", 0.0)
+    signal = F.tanh(F.col("macd") / 10) * (1 - F.col("position")) + 0.1 * F.signum("breakout")
+    return picked(e.withColumn("size", ix.position_size(signal)), "size", "breakout", "position")
