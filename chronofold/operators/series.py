@@ -131,7 +131,7 @@ class Series:
             gap = F.lit(1) if ignore_na else F.col("_ewi") - F.coalesce(F.last(F.when(c.isNotNull(), F.col("_ewi")), ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             d = d.withColumn("_eww", F.when(c.isNotNull(), F.pow(F.lit(q), gap)))
             start = (F.col("_ewn") == 1) & c.isNotNull() & F.lit(initial is None)
-            loss = F.when(c.isNull(), F.lit(0.0)).when(start, F.lit(0.0)).otherwise(F.log((F.col("_eww") + alpha) / F.col("_eww")))
+            loss = F.when(c.isNull(), F.lit(0.0)).when(start, F.lit(0.0)).otherwise(F.log(F.col("_eww") + alpha) - gap * math.log(q))
             d = d.withColumn("_ewl", F.sum(loss).over(self.so_far()))
             share = F.when(start, F.lit(1.0)).otherwise(F.lit(alpha) / (F.col("_eww") + alpha))
             d = self._scan(d.withColumn("_ewl", F.when(c.isNotNull(), F.col("_ewl"))), {"_ews": c * share})
