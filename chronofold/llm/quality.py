@@ -29,7 +29,7 @@ EPOCHS = 4
 _LOWER = re.compile(r"[^\W\d_A-ZÀ-Þ]+")
 _UPPER = re.compile(r"[A-ZÀ-Þ]+")
 _DIGIT = re.compile(r"[0-9]+")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @functools.lru_cache(maxsize=65_536)

@@ -3,10 +3,10 @@
 A dataset is a folder of shards. Shard k holds the documents of the k-th range of the
 order column; its two files are
 
-``ids-k.arrow``   Arrow IPC file; columns ``ids`` fixed_size_list<uint32>[length] and
-                  ``mask`` fixed_size_list<uint8>[length]. The shard's ids are laid end
-                  to end and cut into equal sequences; only the last one is padded (id 0,
-                  mask 0). Every batch but the last has ``rows`` sequences, so sequence s
+``ids-k.arrow``   Arrow IPC file; columns ``ids`` fixed_size_list<uint16>[length] (uint32
+                  for vocabularies above 65,536) and ``mask`` fixed_size_list<bool>[length].
+                  The shard's ids are laid end to end and cut into equal sequences; only
+                  the last one is padded (id 0, mask false). Every batch but the last has ``rows`` sequences, so sequence s
                   is row s % rows of batch s // rows: with a memory map, one sequence is
                   read without parsing or copying anything else.
 ``docs-k.arrow``  Arrow IPC file; per document its id, its start in the shard's ids, and
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, parts, text_of
 
 #: A worker remembers the ids of at most so many frequent chunks, and of as many recent ones. It changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Marks that may end a word; a run of them is one piece of its own for a byte-level pre-tokenizer.
 MARKS = ".,;:!?%$#&*|)"
 
@@ -143,14 +143,14 @@ def _open(uri: str):
 class ShardWriter:
     """Writes one shard's two files; memory holds one batch of sequences and the document index."""
 
-    def __init__(self, folder: str, shard: int, length: int, rows: int, pad: int = 0):
+    def __init__(self, folder: str, shard: int, length: int, rows: int, pad: int = 0, kind: type = np.uint32):
         self.fs, root = _open(folder)
         self.names = [f"{root}/ids-{shard:06d}.arrow", f"{root}/docs-{shard:06d}.arrow"]
-        self.length, self.rows, self.pad = length, rows, pad
+        self.length, self.rows, self.pad, self.kind = length, rows, pad, np.dtype(kind)
         import uuid
 
         self.temp = f".{uuid.uuid4().hex}"
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.fs.open_output_stream(self.names[0] + self.temp)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.waiting: list[np.ndarray] = []
@@ -160,22 +160,21 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, self.total, len(ids)))
         self.total += len(ids)
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind, copy=False))
         self.held += len(ids)
         if self.held >= self.length * self.rows:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        flat = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.uint32)
+        flat = np.concatenate(self.waiting) if self.waiting else np.empty(0, self.kind)
         size = self.length * self.rows
         end = len(flat) if last else len(flat) // size * size
         for start in range(0, end, size):
             part = flat[start : min(start + size, end)]
             n = -(-len(part) // self.length)
-            ids = np.full(n * self.length, self.pad, np.uint32)
+            ids = np.full(n * self.length, self.pad, self.kind)
             ids[: len(part)] = part
-            mask = np.zeros(n * self.length, np.uint8)
-            mask[: len(part)] = 1
+            mask = np.arange(n * self.length) < len(part)
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.waiting = [flat[end:]]
@@ -205,16 +204,16 @@ class ShardReader:
         self.docs = pa.ipc.open_file(self.files[1])
         self.length = self.ids.schema.field("ids").type.list_size
         self.rows = self.ids.get_batch(0).num_rows if self.ids.num_record_batches else 1
-        self._batch: tuple[int, np.ndarray, np.ndarray] = (-1, np.empty(0), np.empty(0))
+        self._batch: tuple = (-1, np.empty(0), None)
 
-    def _load(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
+    def _load(self, batch: int) -> tuple[np.ndarray, pa.Array]:
         if self._batch[0] != batch:
             got = self.ids.get_batch(batch)
-            self._batch = (batch, got.column(0).values.to_numpy(), got.column(1).values.to_numpy())
+            self._batch = (batch, got.column(0).values.to_numpy(), got.column(1).values)
         return self._batch[1:]
 
-    def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence s: views of the mapped file."""
+    def sequence(self, s: int) -> tuple[np.ndarray, pa.Array]:
+        """(ids, mask) of sequence s: views of the mapped file (the mask is an Arrow array of bits)."""
         ids, mask = self._load(s // self.rows)
         at = s % self.rows * self.length
         return ids[at : at + self.length], mask[at : at + self.length]
@@ -226,7 +225,7 @@ class ShardReader:
             ids, mask = self._load(start // size)
             at = start % size
             got = ids[at : at + n]
-            if not mask[at : at + len(got)].all():
+            if len(got) == 0 or not mask[at + len(got) - 1].as_py():
                 raise ValueError("padding inside a document")
             out.append(got)
             start, n = start + len(got), n - len(got)
@@ -247,13 +246,14 @@ def _writer(folder: str, path: str, end_id: int, length: int, rows: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
+        small = max(chunk_encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 65_536
         out = None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 512):
                 some = texts.slice(at, 512).to_pylist()
                 for doc_id, raw in zip(ids[at : at + 512], encode_texts(path, some)):
-                    out = out or ShardWriter(folder, shard, length, rows)
+                    out = out or ShardWriter(folder, shard, length, rows, kind=np.uint16 if small else np.uint32)
                     out.add(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
         if out:
             out.close()
