@@ -109,19 +109,24 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source_col: str = "sour
     with the added names are replaced; an empty table gives an empty result.
     """
     plain = df.drop("block", "slot", "weight", "position")
-    named = plain.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    ties = [F.xxhash64(*[F.col(c) for c in plain.columns])]
-    rows = numbered(named, "_source", [F.col(order_col).asc_nulls_first(), *ties])
+    named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    every = [c for name in plain.columns for c in (F.col(name), F.col(name).isNull())]
+    print_ = [F.xxhash64(F.lit(seed), *every).alias(f"_h{seed}") for seed in (1, 2)]
+    # only the order's columns and the row's fingerprint are sorted and written, not the row
+    thin = plain.select(named.alias("_source"), F.col(order_col).alias("_order"), *print_)
+    rows = numbered(thin, "_source", [F.col("_order").asc_nulls_first(), F.col("_h1"), F.col("_h2")])
     rows = rows.withColumn("_block", F.floor(F.col("_index") / block).cast("long"))
     sizes = cut(rows.groupBy("_source").agg((F.max("_block") + 1).alias("_blocks")), "sizes")
     if weights is None:
         asked = power_weights(sizes)
     else:
-        asked = weights.select(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_source"), "weight").groupBy("_source").agg(F.max("weight").alias("weight"))
-    placed = schedule(sizes, asked)
-    out = rows.join(placed, ["_source", "_block"])
-    position = F.col("slot") * block + F.col("_index") % block
-    return out.withColumn("position", position).withColumnRenamed("_block", "block").drop("_source", "_index")
+        asked = weights.select(named.alias("_source"), "weight").groupBy("_source").agg(F.max("weight").alias("weight"))
+    place = F.struct((F.col("slot") * block + F.col("_index") % block).alias("position"), F.col("_block").alias("block"), "slot", "weight")
+    placed = rows.join(schedule(sizes, asked), ["_source", "_block"]).groupBy("_h1", "_h2").agg(F.sort_array(F.collect_list(place)).alias("_places"))
+    # rows that are alike in all columns take the places of their fingerprint one by one
+    nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(0)))
+    back = plain.select("*", *print_).withColumn("_nth", nth).join(placed, ["_h1", "_h2"])
+    return back.withColumn("_place", F.get("_places", F.col("_nth") - 1)).select(*plain.columns, *[F.col(f"_place.{c}") for c in ("block", "slot", "weight", "position")])
 
 
 def mixed_documents(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
