@@ -108,7 +108,13 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source_col: str = "sour
     order (repeated rows, null ids first) follow the order of all their columns; columns
     with the added names are replaced; an empty table gives an empty result.
     """
-    plain = df.drop("block", "slot", "weight", "position")
+    added = ("block", "slot", "weight", "position")
+    placed = _placed(df.drop(*added), weights, source_col, order_col, block)
+    return placed.select("*", *[F.col(f"_place.{c}") for c in added]).drop("_place")
+
+
+def _placed(plain: DataFrame, weights: DataFrame | None, source_col: str = "source", order_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """``plain`` with the struct _place."""
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     every = [c for name in plain.columns for c in (F.col(name), F.col(name).isNull())]
     print_ = [F.xxhash64(F.lit(seed), *every).alias(f"_h{seed}") for seed in (1, 2)]
@@ -126,11 +132,10 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source_col: str = "sour
     # rows that are alike in all columns take the places of their fingerprint one by one
     nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(0)))
     back = plain.select("*", *print_).withColumn("_nth", nth).join(placed, ["_h1", "_h2"])
-    return back.withColumn("_place", F.get("_places", F.col("_nth") - 1)).select(*plain.columns, *[F.col(f"_place.{c}") for c in ("block", "slot", "weight", "position")])
+    return back.withColumn("_place", F.get("_places", F.col("_nth") - 1)).select(*plain.columns, "_place")
 
 
 def mixed_documents(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The rows and columns of ``df``, dealt by ranges of their position and sorted by it."""
-    columns = df.columns
-    placed = mix(df, weights)
-    return placed.repartitionByRange(parts(df), "position").sortWithinPartitions("position").select(*columns)
+    placed = _placed(df, weights)
+    return placed.repartitionByRange(parts(df), "_place.position").sortWithinPartitions("_place.position").drop("_place")

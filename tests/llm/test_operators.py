@@ -1,0 +1,353 @@
+"""Each operator against brute force on small tables, and on tables of odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from chronofold.llm import ctw, decontaminate, lexicon, licenses, mixing, nn_descent, pii, quality, simhash, token_output
+from chronofold.llm.common import id_bucket
+from chronofold.llm.components import components
+
+VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def reach(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+# 1 ------------------------------------------------------------------------------------------------
+
+
+def test_token_files_round_trip(odd, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCAB)
+    folder = f"file://{tmp_path}/tokens"
+    manifest = token_output.write_dataset(odd, folder, VOCAB, ["doc_id"], length=64, rows=4)
+    got = sorted(tuple(r)[:4] for r in token_output.read_documents(manifest, folder).collect() if r.doc_id is not None)
+    rows = sorted([(r.doc_id, r.text or "") for r in odd.collect()], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    start, want = 0, []
+    for doc_id, text in rows:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == sorted(w for w in want if w[0] is not None)
+    reader = token_output.ShardReader(folder, max(r.shard for r in manifest.collect()))
+    ids, mask = reader.sequence(0)
+    assert len(ids) == len(mask) == 64 and ids.base is not None
+    assert token_output.token_documents(none, VOCAB).count() == 0
+
+
+def test_chunked_encoding_is_whole_encoding():
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(VOCAB), random.Random(3)
+    texts = ["".join(rng.choice(["a", "B", " ", "\n", ".", "'s", "é", "9", "don't", "漢", "!!", "\t", "word", "<|"]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for text, raw in zip(texts, token_output.encode_texts(VOCAB, texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+# 2 ------------------------------------------------------------------------------------------------
+
+
+def test_wand_equals_full_scoring():
+    rng = random.Random(0)
+    items = [(k, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 12)) for _ in range(rng.randint(3, 30)))) for k in range(60)]
+    index = decontaminate.Index(items)
+    for _ in range(300):
+        pool = [w for k in rng.sample(range(60), 3) for w in decontaminate.words_of(items[k][1])]
+        terms = np.array(sorted({index.term[w] for w in pool if rng.random() < 0.9}))
+        full = defaultdict(float)
+        for t in terms:
+            for k, v in zip(index.items[t], index.impact[t]):
+                full[k] += v
+        want = {k for k, v in full.items() if v >= index.bound[k] - 1e-9}
+        assert {k for k, _ in index.search(terms.tolist())} == want
+        assert {k for k, _ in index.search(terms.tolist(), index.reachable(terms))} == want
+
+
+def test_decontamination(spark, odd, none):
+    item = "What colour is the evening sky over the quiet northern harbour? It turns a deep and glowing shade of copper red."
+    filler = "plain filler words without meaning stand here for a while " * 30
+    docs = spark.createDataFrame([(1, filler + item.upper() + " " + filler), (2, filler), (3, filler + " ".join(item.split()[:9])), (4, None), (5, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "An unrelated question about rivers and mountains? Yes, they are old.")], "item_id long, text string")
+    assert sorted((r.id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()) == [(1, 7), (5, 7)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3, 4]
+    assert decontaminate.clean(odd, items).count() == odd.count() and decontaminate.clean(odd, items).columns == odd.columns
+    assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.clean(odd, items.where("false")).count() == odd.count()
+
+
+# 3 ------------------------------------------------------------------------------------------------
+
+
+def slow_tree(texts, depth):
+    """Context-tree weighting by its definition: the block probability of all counts, node by node."""
+    counts = defaultdict(lambda: [0, 0])
+    for text in texts:
+        padded = bytes(depth) + text + b"\0"
+        for at in range(depth, len(padded)):
+            for d in range(depth + 1):
+                context, node = bytes(c & 127 for c in padded[at - d : at]), 1
+                for bit in range(7, -1, -1):
+                    b = padded[at] >> bit & 1
+                    counts[context, node][b] += 1
+                    node = node * 2 + b
+
+    def log_e(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+
+    log_w, share = {}, {}
+    for d in range(depth, -1, -1):
+        below = defaultdict(float)
+        for (context, node), w in log_w.items():
+            if len(context) == d + 1:
+                below[context[1:], node] += w
+        for (context, node), (z, o) in list(counts.items()):
+            if len(context) == d:
+                e = log_e(z, o)
+                w = e if d == depth else float(np.logaddexp(e, below[context, node])) - math.log(2)
+                log_w[context, node], share[context, node] = w, 1.0 if d == depth else math.exp(e - w - math.log(2))
+
+    def score(text):
+        total, padded = 0.0, bytes(depth) + text + b"\0"
+        for at in range(depth, len(padded)):
+            node = 1
+            for bit in range(7, -1, -1):
+                b, p, rest = padded[at] >> bit & 1, 0.0, 1.0
+                for d in range(depth + 1):
+                    key = bytes(c & 127 for c in padded[at - d : at]), node
+                    n = counts.get(key, (0, 0))
+                    w = 1.0 if d == depth else share.get(key, 1.0)
+                    p += rest * w * (n[b] + 0.5) / (sum(n) + 1)
+                    rest *= 1 - w
+                total += math.log10(p)
+                node = node * 2 + b
+        return total
+
+    return score
+
+
+def test_lm_scores_equal_the_definition(spark, odd):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["the ", "cat ", "Sat ", "on ", "é", "a\n"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    got = {r.id: r for r in ctw.score_texts(docs, id_bucket("doc_id", 7) != 2, depth=3, block_bytes=700).collect()}
+    taught = [lowered(t) for k, t in enumerate([*texts, ""]) if zlib.crc32(str(k).encode()) % 7 != 2]
+    score = slow_tree([t.encode() for t in taught], 3)
+    tokens = Counter(w for t in taught for w in [*WORDS.findall(t), None])
+    n, v = sum(tokens.values()), len(tokens)
+    for k, t in enumerate([*texts, ""]):
+        words = [*WORDS.findall(lowered(t)), None]
+        assert abs(got[k].score - score(lowered(t).encode())) < 1e-3
+        assert abs(got[k].base_score - sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in words)) < 1e-6
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(words), sum(tokens[w] > 0 for w in words), n)
+    assert ctw.score_texts(odd, F.lit(True)).count() == odd.count()
+    assert ctw.score_texts(odd, F.lit(False)).agg(F.sum("train_tokens")).first()[0] == 0
+    assert ctw.score_texts(odd.where("false"), F.lit(True)).count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------------
+
+
+def slow_schedule(sizes, weights):
+    """Earliest deadline first over each round, slot by slot."""
+    slot, out, done = 0, {}, dict.fromkeys(sizes, 0)
+    while any(done[s] < sizes[s] for s in sizes):
+        m = {s: min(weights[s], sizes[s] - done[s]) for s in sorted(sizes) if done[s] < sizes[s]}
+        total, i = sum(m.values()), dict.fromkeys(m, 1)
+        for t in range(total):
+            s = min((s for s in m if i[s] <= m[s] and (i[s] - 1) * total // m[s] <= t), key=lambda s: (-(-i[s] * total // m[s]), s))
+            out[s, done[s] + i[s] - 1] = slot
+            i[s], slot = i[s] + 1, slot + 1
+        for s in m:
+            done[s] += m[s]
+    return out
+
+
+def test_schedule(spark):
+    sizes, weights = {"a": 40, "b": 7, "c": 13, "d": 1}, {"a": 5, "b": 3, "c": 3, "d": 2}
+    got = mixing.schedule(spark.createDataFrame(list(sizes.items()), "_source string, _blocks long"), spark.createDataFrame(list(weights.items()), "_source string, weight long"))
+    placed = {(r._source, r._block): r.slot for r in got.collect()}
+    assert placed == slow_schedule(sizes, weights) and sorted(placed.values()) == list(range(61))
+    total = sum(weights.values())  # no source has ended in the first two rounds but d
+    for t in range(1, total):
+        for s in ("a", "b", "c"):
+            lead = sum(1 for (u, _), k in placed.items() if u == s and k < t) - weights[s] * t / (total - 1)
+            assert abs(lead) < 1 + 1 / total
+
+
+def test_mixing_keeps_every_row(spark, odd, none):
+    mixed = mixing.mix(odd, block=2)
+    assert mixed.count() == odd.count() and len({r.position for r in mixed.collect()}) == odd.count()
+    back = mixing.mixed_documents(odd)
+    assert back.columns == odd.columns and sorted(map(repr, back.collect())) == sorted(map(repr, odd.collect()))
+    assert mixing.mix(none).count() == 0
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    rows = mixing.mix(docs, block=10).orderBy("source", "doc_id").collect()
+    assert all(a.source != b.source or a.position < b.position for a, b in zip(rows, rows[1:]))
+
+
+# 5, 7 ---------------------------------------------------------------------------------------------
+
+
+def test_lexicon_folds_and_excepts(odd, none):
+    words = lexicon.Lexicon([("idiot", 3.0, True), ("clown", 2.0, True), ("grim", 1.0, False)])
+    hits = lambda t: words.match(t)[1]
+    assert [hits(t) for t in ("an IDIOT!", "1d10t$", "іdіоt", "ｉｄｉｏｔ", "class clown", "clowns", "grimmer", "pilgrim", "", None)] == [1, 1, 1, 1, 0, 0, 1, 0, 0, 0]
+    assert words.score("idiot " * 3) > words.score("idiot " + "word " * 50) > words.score("word")
+    got = lexicon.score_texts(odd, words)
+    assert got.count() == odd.count() and got.where("toxic_score is null").count() == 0 and got.where("toxic_hits > 0").count() == 1
+    assert lexicon.score_texts(none, words).count() == 0
+    assert lexicon.learn([("a", 0)]).score("idiot") < 0.5
+
+
+@pytest.mark.parametrize("name, least", [("op5_toxicity", 0.95), ("op7_quality", 0.95)])
+def test_held_out_accuracy(spark, name, least):
+    from chronofold.llm.queries import QUERIES
+
+    sf, label = "/root/testdata/sf0.01", name.split("_")[1].replace("toxicity", "toxic")
+    got = QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] >= least
+
+
+def test_quality_odd_rows(spark, odd, none):
+    weights, bias = quality.train([("good words here", 1), ("bad! bad! bad!", 0)] * 20, bits=12)
+    got = quality.score_texts(odd, weights, bias)
+    assert got.count() == odd.count() and got.where("quality_score between 0 and 1").count() == odd.count()
+    assert quality.score_texts(none, weights, bias).count() == 0
+
+
+# 6, 8 ---------------------------------------------------------------------------------------------
+
+
+def slow_print(text):
+    words = WORDS.findall(lowered(text))
+    if not words:
+        return 0
+    grams = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, odd, none):
+    rng = random.Random(2)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 150))] for _ in range(25)]
+    texts = []
+    for words in base:
+        for _ in range(rng.choice([1, 1, 4, 30])):
+            copy = list(words)
+            if rng.random() < 0.7:
+                copy[rng.randrange(len(copy))] = "X"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", " \n"])), "doc_id long, text string")
+    got = {r.id: r for r in simhash.near_duplicates(docs).collect()}
+    prints = {k: slow_print(t) for k, t in enumerate([*texts, "", "", ""])}
+    assert {k: got[k].fp & (1 << 64) - 1 for k in prints} == prints
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert {k: got[k].component for k in prints} == reach(prints, links)
+    groups = simhash.near_duplicates(odd).collect()
+    assert len(groups) == odd.count() and {r.component for r in groups if r.id is None} == {None}
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-9, 1, 3, 6, 7, 8]
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_every_close_print_meets_and_is_viable():
+    rng = random.Random(4)
+    for m in (5, 6, 7, 8):
+        diffs = [sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(2000)]
+        got = simhash.viable(np.array(diffs, np.uint64), m, 4)
+        assert got.tolist() == [d.bit_count() <= 4 for d in diffs]
+
+
+def test_large_cells_and_dense_groups(spark):
+    rows = [(k, sum(1 << b for b in range(9) if k >> b & 1)) for k in range(512)] + [(1000, 1 << 63 - 1)]
+    reps = spark.createDataFrame(rows, "rep long, fp long")
+    got = {r.node: r.component for r in components(simhash.links(reps, cell_rows=64)).collect()}
+    assert all(got[k] == 0 for k in range(512))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = spark.createDataFrame([*links, (None, 3)], "a long, b long").repartition(8)
+    want = reach({n for e in links for n in e}, links)
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {k: v for k, v in want.items() if k in got} and {k for k, v in want.items() if k != v} <= got.keys()
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 16))
+    rows = [(k, (centres[k % 12] + 0.12 * rng.standard_normal(16)).tolist(), k % 2) for k in range(300)]
+    rows += [(400, rows[0][1], 0), (401, [2 * v for v in rows[0][1]], 0), (402, rows[0][1], 1), (403, None, 0), (404, [0.0] * 16, 0), (405, [float("nan")] * 16, 0), (406, rows[0][1], None), (407, [None] * 16, 0), (408, [], 0), (409, [1e300] * 16, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found, recall = nn_descent.near_duplicates(df)
+    units = {k: (np.array(v) / max(map(abs, v)), label) for k, v, label in rows if v and label is not None and None not in v and np.isfinite(v).all() and any(v)}
+    units = {k: (u / np.linalg.norm(u), label) for k, (u, label) in units.items()}
+    links = [(a, b) for a in units for b in units if a < b and units[a][1] == units[b][1] and units[a][0] @ units[b][0] >= 0.93]
+    degree, want = Counter(n for e in links for n in e), reach([r[0] for r in rows], links)
+    got = {r.id: r for r in found.collect()}
+    assert recall >= 0.9 and {k: r.component for k, r in got.items()} == want
+    assert {k: r.n_links for k, r in got.items()} == {r[0]: degree[r[0]] for r in rows}
+    assert nn_descent.near_duplicates(df.where("false"))[0].count() == 0
+
+
+# 9, 10 --------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def slow_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], list(BASE).index(s[2])))
+
+
+def test_pii(odd, none):
+    rng = random.Random(1)
+    for _ in range(8000):
+        text = "".join(rng.choice("a1@.+- 4(2)%é\n0") for _ in range(rng.randint(0, 70)))
+        assert pii.base_spans(text) == slow_spans(text)
+        base, every = pii.find(text)
+        assert set(base) <= set(every)
+    text = 'the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" of 2024-01-05, call (017) 555-7713 and 9807915762804490.'
+    assert {k for *_, k in pii.find(text)[1]} == {"secret", "local_phone", "account"}
+    assert "04dbebab" not in pii.redact(text) and "2024-01-05" in pii.redact(text)
+    got = {r.id: r for r in pii.scan(odd).collect()}
+    assert got[-9].n_email == got[-9].n_phone == 1 and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.scan(odd).count() == odd.count() and pii.scan(none).count() == 0
+
+
+def test_licences(spark, odd, none):
+    docs = spark.createDataFrame([(1, "x\nLICENSED UNDER the Apache License, version 2.0!\nmore"), (2, "Released under the MIT License."), (3, "unrelated line of words"), (4, None), (5, "This work is licensed\nunder the GNU General Public License, version 3.")], "doc_id long, text string")
+    assert sorted((r.id, r.licence) for r in licenses.scan(docs).collect()) == [(1, "Apache-2.0"), (2, "MIT"), (5, "GPL-3.0")]
+    assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
