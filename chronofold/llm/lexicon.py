@@ -108,13 +108,32 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def candidates(text: str | None) -> set[str]:
-    """Whole words (marked by a blank behind) and stems of four to eight letters."""
-    out = set()
-    for word in set(_WORD.findall(fold(text or "").translate(_SUBST))):
-        if len(word) >= 4:
-            out.add(word + " ")
-            out.update(word[:k] for k in range(4, min(8, len(word)) + 1))
+def _words(text: str | None) -> frozenset[str]:
+    return frozenset(w for w in _WORD.findall(fold(text or "").translate(_SUBST)) if len(w) >= 4)
+
+
+def frequent(texts: list[frozenset[str]], least: int, longest: int = 8) -> dict[str, int]:
+    """Stems of four to ``longest`` letters and whole words (marked by a blank behind) in at least ``least`` of the texts.
+
+    A longer stem is at most as frequent as its shorter ones, so each length counts only
+    words whose shorter stem is frequent: memory holds the frequent stems and their next letters.
+    """
+    kept: dict[str, int] = {}
+    for size in (*range(4, longest + 1), None):
+        seen: Counter = Counter()
+        for words in texts:
+            if size is None:
+                seen.update({w + " " for w in words if w[: min(longest, len(w))] in kept})
+            else:
+                seen.update({w[:size] for w in words if len(w) >= size and (size == 4 or w[: size - 1] in kept)})
+        kept.update((c, n) for c, n in seen.items() if n >= least)
+    return kept
+
+
+def _stems(words: frozenset[str], longest: int = 8) -> set[str]:
+    out = {w + " " for w in words}
+    for w in words:
+        out.update(w[:k] for k in range(4, min(longest, len(w)) + 1))
     return out
 
 
@@ -125,13 +144,10 @@ def learn(rows: list[tuple[str | None, int]], least: int = 6, precision: float =
     clean = [t for t, y in rows if y == 0]
     if not toxic or not clean:
         return Lexicon([], (-3.0, 0.0, 0.0))
-    seen: Counter = Counter()
-    for t in toxic:
-        seen.update(candidates(t))
-    kept = {c: n for c, n in seen.items() if n >= least}
+    kept = frequent([_words(t) for t in toxic], least)
     against: Counter = Counter()
     for t in clean:
-        against.update(kept.keys() & candidates(t))
+        against.update(kept.keys() & _stems(_words(t)))
     chosen: dict[str, float] = {}
     for c in sorted(kept, key=lambda x: (len(x.rstrip()), x)):
         n, m = kept[c], against[c]
