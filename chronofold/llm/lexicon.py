@@ -199,7 +199,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 def learn_from(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int = SAMPLE) -> Lexicon:
     """Learn a lexicon in one task over a bounded sample; the driver gets its entries alone."""
     sample = labelled_sample(docs, labels, label, keep, limit)
-    got = sample.coalesce(1).mapInArrow(_dedup, "pattern string, weight double, whole boolean").collect()
+    # an exchange, not coalesce: the texts are read by all executors, only the sample meets in one task
+    got = sample.repartition(1).mapInArrow(_dedup, "pattern string, weight double, whole boolean").collect()
     calibration = [r.weight for r in sorted((r for r in got if r.whole is None), key=lambda r: r.pattern)]
     return Lexicon([(r.pattern, r.weight, r.whole) for r in got if r.whole is not None], tuple(calibration) if calibration else (-3.0, 0.0, 0.0))
 
