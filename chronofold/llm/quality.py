@@ -141,7 +141,8 @@ def _train_one(bits: int, epochs: int):
 def learn_from(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Train in one task over at most ``limit`` labelled rows; 2**bits weights come to the driver."""
     sample = labelled_sample(docs, labels, label, keep, limit)
-    got = sample.coalesce(1).mapInArrow(_train_one(bits, EPOCHS), "weights binary, bias double").first()
+    # an exchange, not coalesce: the texts are read by all executors, only the sample meets in one task
+    got = sample.repartition(1).mapInArrow(_train_one(bits, EPOCHS), "weights binary, bias double").first()
     if got is None:
         return np.zeros(1 << bits, np.float32), 0.0
     return np.frombuffer(got.weights, "<f4").copy(), got.bias
