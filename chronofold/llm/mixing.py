@@ -128,11 +128,10 @@ def _placed(plain: DataFrame, weights: DataFrame | None, source_col: str = "sour
     else:
         asked = weights.select(named.alias("_source"), "weight").groupBy("_source").agg(F.max("weight").alias("weight"))
     place = F.struct((F.col("slot") * block + F.col("_index") % block).alias("position"), F.col("_block").alias("block"), "slot", "weight")
-    placed = rows.join(schedule(sizes, asked), ["_source", "_block"]).groupBy("_h1", "_h2").agg(F.sort_array(F.collect_list(place)).alias("_places"))
-    # rows that are alike in all columns take the places of their fingerprint one by one
-    nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(0)))
-    back = plain.select("*", *print_).withColumn("_nth", nth).join(placed, ["_h1", "_h2"])
-    return back.withColumn("_place", F.get("_places", F.col("_nth") - 1)).select(*plain.columns, "_place")
+    placed = rows.join(schedule(sizes, asked), ["_source", "_block"]).select("_h1", "_h2", place.alias("_place"))
+    # rows that are alike in all columns are one row here, and it takes each of their places
+    once = plain.select("*", *print_).dropDuplicates(["_h1", "_h2"])
+    return placed.join(once, ["_h1", "_h2"]).select(*plain.columns, "_place")
 
 
 def mixed_documents(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
