@@ -241,7 +241,7 @@ class ShardReader:
             f.close()
 
 
-def _writer(folder: str, path: str, end_id: int, length: int, rows: int):
+def _writer(folder: str, path: str, end_id: int, length: int, rows: int, release: bool):
     def run(batches):
         from pyspark import TaskContext
 
@@ -255,6 +255,9 @@ def _writer(folder: str, path: str, end_id: int, length: int, rows: int):
                 for doc_id, raw in zip(ids[at : at + 512], encode_texts(path, some)):
                     out = out or ShardWriter(folder, shard, length, rows, kind=np.uint16 if small else np.uint32)
                     out.add(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+        if release:
+            chunk_encoder.cache_clear()
+            pa.default_memory_pool().release_unused()
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(out.docs)], "n_ids": [out.total]})
@@ -262,20 +265,22 @@ def _writer(folder: str, path: str, end_id: int, length: int, rows: int):
     return run
 
 
-def write_dataset(df: DataFrame, folder: str, tokenizer_path: str, order: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows: int = 256, shards: int | None = None) -> DataFrame:
+def write_dataset(df: DataFrame, folder: str, tokenizer_path: str, order: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows: int = 256, shards: int | None = None, release: bool = False) -> DataFrame:
     """Encode every whole text, write the shards in ascending ``order``, return the manifest.
 
     The manifest has one row per shard that has documents: shard, n_docs, n_ids and
     start, the number of ids in all shards before it. Null texts count as empty (their
     document is the end id alone); null ids come first; rows that tie in ``order`` are
-    ordered by their text; repeated rows stay; an empty table writes no shard.
+    ordered by their text; repeated rows stay; an empty table writes no shard. With
+    ``release`` a worker gives the encoder's memory back after each task, for the stages
+    that come after; without it, the next task finds the remembered chunks.
     """
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     keys = [F.col(c).asc_nulls_first() for c in order]
     cols = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), *[c for c in order if c not in ("_id", "_text")])
     dealt = cols.repartitionByRange(shards or parts(df), *keys).sortWithinPartitions(*keys, "_text")
-    manifest = cut(dealt.select("_id", "_text").mapInArrow(_writer(folder, tokenizer_path, end_id, length, rows), "shard int, n_docs long, n_ids long"), "manifest")
+    manifest = cut(dealt.select("_id", "_text").mapInArrow(_writer(folder, tokenizer_path, end_id, length, rows, release), "shard int, n_docs long, n_ids long"), "manifest")
     # one row per shard: the offsets are a running sum over as many rows as there are files
     rows_ = sorted((r.shard, r.n_docs, r.n_ids) for r in manifest.collect())
     start, out = 0, []
