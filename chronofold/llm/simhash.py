@@ -182,13 +182,164 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 4, width: int = 5) -> DataFrame:
-    """The rows of ``df`` that stay when each group of near copies keeps its smallest id.
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles, sorted; a text of at most ``width`` words is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
+    return np.unique(np.fromiter((digest(b" ".join(g), seed) for g in zip(*(words[k:] for k in range(width)))), np.uint64, len(words) - width + 1))
+
+
+def _alike(a: int, b: int, shared: int, threshold: float) -> bool:
+    return shared >= threshold * (a + b - shared) - 1e-9
+
+
+MEET = 4  # members that the prefixes of two alike sets share
+
+
+def _prefix_size(n: int, threshold: float) -> int:
+    """Two sets of similarity ``threshold`` or more share MEET (or all that the smaller must share) of their first so many members in any common order."""
+    least = int(np.ceil(threshold * n - 1e-9))
+    return n - least + min(MEET, least)
+
+
+def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that occur in several of a sample of texts; they only set the order of prefixes, not what is found."""
+    every = max(1, df.count() // docs)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, width).view(np.int64))], ["h"])
+
+    sample = df.where(F.pmod(F.xxhash64(F.lit(3), id_col, text_col), F.lit(every)) == 0).select(text_of(text_col).alias("text"))
+    counted = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 1")
+    rows = counted.orderBy(F.desc("count"), "h").limit(most).toPandas()
+    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
 
-    Rows with a null id stay. Of rows that share the kept id, only those with its first
-    fingerprint's lowest text hash stay: one row. All columns of ``df`` are returned.
+def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
+    """(id, sig, size, prefix): sig names the set of shingles, prefix holds its rarest members, rarest first."""
+    hashes, counts = _common(df, id_col, text_col, width)
+
+    def run(batches):
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            sigs, sizes, prefixes = [], [], []
+            for text in batch.column(1).to_pylist():
+                h = shingles(text, width)
+                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+                often = np.where(hashes[at] == h, counts[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
+                first = np.lexsort((h, often))[: _prefix_size(len(h), threshold)]
+                sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                prefixes.append((h[first] & np.uint64(2**40 - 1)).view(np.int64))  # short keys: a collision only adds a candidate
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "sig", "size", "prefix"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, sig binary, size int, prefix array<long>")
+
+
+def _cell_pairs(batches):
+    """All pairs of a cell's members that lie in different groups."""
+    tables = [[b.column(k).to_numpy() for k in range(3)] for b in batches if b.num_rows]
+    if not tables:
+        return
+    cell, rep, group = (np.concatenate(x) for x in zip(*tables))
+    order = np.lexsort((rep, cell))
+    cell, rep, group = cell[order], rep[order], group[order]
+    at, step = np.arange(len(cell)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(cell)]
+        at = at[cell[at + step] == cell[at]]
+        here = at[group[at] != group[at + step]]
+        if len(here):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[here], pa.int64()), pa.array(rep[here + step], pa.int64())], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs whose shingle sets reach the threshold; an id with several texts links by any of them."""
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if _alike(len(x), len(y), len(np.intersect1d(x, y, True)), threshold):
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int32())) for k in range(2)], ["a", "b"])
+
+    met = pairs.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    return cut(met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "alike")
+
+
+def _held(df: DataFrame, asked: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, s): the shingle sets of the asked ids; only ids that occur more than once are made distinct."""
+
+    def sets(batches):
+        for batch in batches:
+            for some in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, width).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["id", "s"])
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(asked, "id", "left_semi")
+    repeated = cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    found = texts.join(repeated, "id", "left_anti").mapInArrow(sets, "id long, s binary")
+    return cut(found.unionByName(texts.join(repeated, "id", "left_semi").distinct().mapInArrow(sets, "id long, s binary")), "shingles")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, cell_rows: int = 1024) -> DataFrame:
+    """(id, component) per row with an id: groups over links of Jaccard similarity ``threshold`` or more of the sets of word shingles.
+
+    Exact: two sets that are so alike share MEET members of their prefixes (a set's rarest
+    members, as many as the threshold allows to differ, and MEET), so the pairs that meet
+    that often and whose sizes allow it are held against each other's whole sets. Equal
+    sets are one vertex. The first member of a key is compared with the key's others
+    before all pairs of different groups are: a large group costs no square of its size.
+    A key's members (8 bytes each) are a row.
+    """
+    rows = cut(_prefixes(df, id_col, text_col, width, threshold).where("id is not null"), "prefixes")
+    reps = cut(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size")), "reps")
+    ids = rows.select("id", "sig").join(reps.select("sig", "rep"), "sig").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    once = rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
+    members = once.select("rep", F.explode("prefix").alias("key")).groupBy("key").agg(F.collect_list("rep").alias("reps"))
+    keys = cut(members.where(F.size("reps") > 1), "keys")
+    sizes = reps.groupBy("rep").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        often = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        sized = often.join(sizes.withColumnsRenamed({"rep": "a", "lo": "la", "hi": "ha"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "lo": "lb", "hi": "hb"}), "b")
+        need = F.least(F.lit(MEET), F.ceil(F.least("la", "lb") * F.lit(threshold) - F.lit(1e-9)))
+        fits = (F.col("ha") >= F.col("lb") * F.lit(threshold) - F.lit(1e-9)) & (F.col("hb") >= F.col("la") * F.lit(threshold) - F.lit(1e-9))
+        return sized.where(fits & (F.col("n") >= need)).select("a", "b")
+
+    apart = keys.select("key", F.explode("reps").alias("rep"))
+    met = apart.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(sizes, "rep")
+    asked = cut(met.where(F.col("n") >= F.least(F.lit(MEET), F.ceil(F.col("lo") * F.lit(threshold * threshold) - F.lit(1e-9)))).select(F.col("rep").alias("id")), "asked")
+    held = _held(df, asked, rows, id_col, text_col, width)
+    stars = cut(allowed(keys.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")), "stars")
+    first = _verified(stars, held, threshold)
+    groups = cut(components(first), "groups")
+    grouped = apart.join(groups, apart.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("key")
+    cells = deal_into_cells(grouped.join(mixed, "key", "left_semi"), ["key"], "rep", cell_rows).select("cell", "rep", "group")
+    others = cells.repartition(parts(rows), "cell").mapInArrow(_cell_pairs, "a long, b long")
+    second = _verified(cut(allowed(others).join(stars, ["a", "b"], "left_anti"), "pairs"), held, threshold)
+    found = components(first.unionByName(second).unionByName(ids))
+    classes = reps.join(found, reps.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    return rows.select("id", "sig").join(classes, "sig").select("id", "component")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``df`` that stay when each group of near copies (``similar_groups``) keeps its smallest id.
+
+    Rows with a null id stay. Of rows that share the kept id one stays. All columns of
+    ``df`` are returned.
     """
-    groups = near_duplicates(df, id_col, text_col, t, width).where("id is not null")
+    groups = cut(similar_groups(df, id_col, text_col, width, threshold), "near-copies")
     kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
     plain = df.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
     repeated = groups.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias("_kept"))

@@ -276,6 +276,24 @@ def test_simhash(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_finds_every_pair_of_the_rule(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(20, 250))]
+        for _ in range(rng.choice([1, 2, 5])):
+            copy = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 99)}"
+            texts.append("one common line opens them all " + " ".join(copy))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = reach(range(len(texts)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component for r in simhash.similar_groups(docs, cell_rows=8).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
+
+
 def test_every_close_print_meets_and_is_viable():
     rng = random.Random(4)
     for m in (5, 6, 7, 8):
