@@ -1,8 +1,8 @@
 """Personal data: pattern spans, and more spans chosen by boosted trees.
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks. Beside them,
-generous generators propose further candidates, which may overlap one another: grouped
-or long digit runs, long mixed strings, and account-like codes. Boosted trees score each
+generous generators propose further candidates, which may overlap one another: spans
+of neighbouring digit groups, long mixed strings, and account-like codes. Boosted trees score each
 candidate by its format and by the words around it; a kind's candidates are kept from its
 calibrated threshold on, and of overlapping ones the likeliest is. The trees are trained
 on examples that are generated here, from a fixed seed: formats of personal data and of
@@ -41,6 +41,9 @@ _TRACE = re.compile(r"[0-9@+]")
 
 # Candidates: digit groups, long mixed strings, codes of two letters and digits.
 _GROUPS = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9])+")
+_DIGITS = re.compile(r"[0-9]+")
+_LEFT = re.compile(r"([0-9]+)([\x20().\-/]{1,2})$")
+_RIGHT = re.compile(r"([\x20().\-/]{1,2})([0-9]+)")
 _MIXED = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 _CODE = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}\b")
 _WORDS = {
@@ -105,17 +108,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def proposals(text: str) -> list[tuple[int, int, str]]:
-    """Candidates of the further kinds, overlapping as they come."""
+    """Candidates of the further kinds, overlapping as they come; of a run of digit groups every span of neighbours."""
     out = []
     for m in _GROUPS.finditer(text):
-        start, end = m.span()
-        if text[start] == "(" and ")" not in m.group():
-            start += 1
-        n = sum(c.isdigit() for c in text[start:end])
-        if 7 <= n <= 11:
-            out.append((start, end, "local_phone"))
-        if 8 <= n <= 24:
-            out.append((start, end, "account"))
+        groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            for lo, end in groups[i:]:
+                n += end - lo
+                if n > 24:
+                    break
+                at = start - 1 if start > m.start() and text[start - 1] == "(" and ")" in text[start:end] else start
+                if 7 <= n <= 11:
+                    out.append((at, end, "local_phone"))
+                if 8 <= n:
+                    out.append((at, end, "account"))
     for m in _MIXED.finditer(text):
         s = m.group()
         if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
@@ -133,6 +140,8 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     seps = [c for c in s if not c.isalnum()]
     before, after = text[max(0, start - 40) : start], text[end : end + 12]
     near = before[-3:].rstrip()
+    left, right = _LEFT.search(before), _RIGHT.match(text, end, end + 26)
+    gap, next_gap = left.group(2) if left else "", right.group(1) if right else ""
     return [
         float(_ORDER[kind]), float(end - start), float(len(digits)), len(digits) / n, sum(c in "abcdefABCDEF0123456789" for c in s) / n,
         sum(c.isupper() for c in s) / n, float(len(seps)), float(len(set(seps))), len(set(s)) / n, float(luhn("".join(digits))),
@@ -140,6 +149,8 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float("(" in s), float("." in s), float("-" in s), float("/" in s), float("=" in s),
         float(bool(re.match(r"(19|20)[0-9]{2}", s))), float(near.endswith("+")), float(near[-1:] in ("'", '"') if near else 0), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(bool(re.search(r"[$€£#]\s?$", before))),
         float(after[:1].isalnum()), float(bool(re.match(r"[.,:][0-9]", after))), float(before[-1:].isalnum() or before[-1:] in ".,/-"),
+        float(len(left.group(1)) if left else 0), float(len(right.group(2)) if right else 0), float(bool(gap.strip())), float(bool(next_gap.strip())),
+        float(gap != "" and gap[-1] in seps), float(next_gap != "" and next_gap[0] in seps),
         *(float(bool(r.search(before) or r.search(after))) for r in _WORDS.values()),
     ]
 
@@ -178,8 +189,22 @@ def examples(seed: int = 20_240_901, each: int = 260) -> list[tuple[str, int, in
         for kind, make in private.items():
             lead, made, tail = word() + " " + word() + pick([" ", ", ", ".\n"]), make(), pick([" " + word(), ".", "", "### " + word()])
             line = lead + made + tail
-            found = proposals(line)
-            out += [(line, a, b, k, int(k == kind)) for a, b, k in found]
+            true = (len(lead) + re.search(r"\(?[0-9]", made).start(), len(lead) + len(made)) if kind in ("account", "local_phone") else None
+            out += [(line, a, b, k, int(k == kind and true in (None, (a, b)))) for a, b, k in proposals(line)]
+        for _ in range(2):  # numbers side by side: several of a kind, mixed, or beside a small number
+            kinds = [pick(["account", "local_phone"])] * 3 if rng.random() < 0.5 else [pick(["account", "local_phone"]) for _ in range(3)]
+            line, true = f"{word()} {cue(['call', 'phone', 'account', 'customer', 'room'])} ", set()
+            for kind in kinds[: int(rng.integers(1, 4))]:
+                if rng.random() < 0.3:
+                    line += digit(int(rng.integers(1, 4))) + " "
+                value = private[kind]()
+                value = value[re.search(r"\(?[0-9]", value).start() :]
+                true.add((len(line), len(line) + len(value), kind))
+                line += value + pick([" ", " ", " / ", "/", "  "])
+            if rng.random() < 0.3:
+                line += digit(int(rng.integers(1, 4))) + " "
+            line += pick([word(), "", "."])
+            out += [(line, *c, int(c in true)) for c in proposals(line)]
         for make in harmless:
             line = f"{word()} {make()}{pick(['', '.', ' ' + word()])}"
             out += [(line, a, b, k, 0) for a, b, k in proposals(line)]

@@ -365,6 +365,16 @@ def test_pii(odd, none):
     assert pii.scan(odd).count() == odd.count() and pii.scan(none).count() == 0
 
 
+def test_neighbouring_numbers():
+    def found(text):
+        return [(text[a:b], kind) for a, b, kind in pii.find(text)[1]]
+
+    assert found("phones 555-123-4567 555-987-6543 555-111-2222 here") == [(n, "local_phone") for n in ("555-123-4567", "555-987-6543", "555-111-2222")]
+    assert found("in room 12 555-123-4567 today") == [("555-123-4567", "local_phone")]
+    assert found("the cards 7536784127813050 4845168114407329 here") == [("7536784127813050", "account"), ("4845168114407329", "account")]
+    assert found("Des +1 (826) 555-4081 190.137.2.4 ici") == [("(826) 555-4081", "local_phone"), ("190.137.2.4", "ip")]  # beside a base span
+
+
 def test_licences(spark, odd, none):
     docs = spark.createDataFrame([(1, "x\nLICENSED UNDER the Apache License, version 2.0!\nmore"), (2, "Released under the MIT License."), (3, "unrelated line of words"), (4, None), (5, "This work is licensed\nunder the GNU General Public License, version 3.")], "doc_id long, text string")
     assert sorted((r.id, r.licence) for r in licenses.scan(docs).collect()) == [(1, "Apache-2.0"), (2, "MIT"), (5, "GPL-3.0")]
