@@ -5,11 +5,17 @@ Units are a text's lines and its blank-line separated paragraphs. A unit is norm
 templates whose size allows the wanted coefficient are compared: with Dice >= t, the sizes
 a and b satisfy t / (2 - t) <= a / b <= (2 - t) / t. The pruning is an equality join on the
 unit's size with a table of the sizes that each template allows. DataFrame functions only.
+
+A notice amid other words is in no unit of its own. Texts that hold enough of a template's
+bigrams anywhere are searched for windows, stretches of words that begin and end in bigrams
+of the template; of overlapping windows the likest is taken. A licence that has units in a
+text is not counted by windows there.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +42,37 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
+# Paragraphs of customary licence texts.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_HOPE = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+TEXTS = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", _AS_IS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", _HOPE.format("program", "General Public License")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General Public License")),
+    ("LGPL-3.0", _HOPE.format("library", "Lesser General Public License")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License")),
+    ("AGPL-3.0", _HOPE.format("program", "Affero General Public License")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+)
 THRESHOLD = 0.8
 
 
@@ -64,7 +101,33 @@ def size_limits(templates=TEMPLATES, threshold: float = THRESHOLD) -> int:
     return math.floor(max(len(t.split()) for _, t in templates) * 2 * ((2 - threshold) / threshold)) + 2
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _window_hits(df: DataFrame, id_col: str, text_col: str, templates, threshold: float) -> DataFrame:
+    """(id, licence, dice, n_units) by windows; a window has at most as many bigrams as its template allows."""
+    share = threshold / (2 - threshold)  # of a template's bigrams, in any window that is like it
+    cut = [re.findall(r"[^\W_]+", t.lower()) for _, t in templates]
+    every = sorted({f"{x} {y}" for w in cut for x, y in zip(w, w[1:])})
+    least = min(math.ceil(len(set(zip(w, w[1:]))) * share - 1e-9) for w in cut if len(w) > 1)
+    # explode(array(x)) computes x once a row: a filter pushed down would compute it again for every word
+    plain = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    tokens = plain.select("id", "text", F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= 2)
+    ordered = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.get(F.col("w"), k - 1), F.get(F.col("w"), k)))
+    texts = tokens.select("id", "text", F.explode(F.array(ordered)).alias("grams")).where(F.size(F.array_intersect("grams", F.lit(every))) >= least)
+    wanted = template_table(df.sparkSession, templates, threshold).groupBy("template", "licence", "grams").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumnRenamed("grams", "wanted")
+    met = texts.select("id", F.sha2("text", 256).alias("doc"), "grams").crossJoin(F.broadcast(wanted))
+    held = met.where(F.size(F.array_intersect("grams", "wanted")) >= F.ceil(F.size("wanted") * F.lit(share) - F.lit(1e-9)))
+    places = held.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("wanted", F.get(F.col("grams"), i))))
+    starts = places.withColumn("i", F.explode("at"))
+    ends = starts.withColumn("j", F.explode(F.filter("at", lambda j: (j - F.col("i") + 1 >= F.col("low")) & (j - F.col("i") + 1 <= F.col("high")))))
+    sized = ends.select("id", "doc", "licence", "i", "j", "wanted", F.array_distinct(F.slice("grams", F.col("i") + 1, F.col("j") - F.col("i") + 1)).alias("own"))
+    like = sized.withColumn("dice", 2 * F.size(F.array_intersect("own", "wanted")) / (F.size("own") + F.size("wanted"))).where(F.col("dice") >= threshold)
+    found = F.sort_array(F.collect_set(F.struct("dice", "licence", "i", "j")), asc=False)
+    none = F.array().cast("array<struct<dice:double,licence:string,i:int,j:int>>")
+    taken = F.aggregate("found", none, lambda got, x: F.when(F.exists(got, lambda y: (y.i <= x.j) & (x.i <= y.j)), got).otherwise(F.concat(got, F.array(x))))
+    chosen = like.groupBy("id", "doc").agg(found.alias("found")).select("id", F.explode(taken).alias("x"))
+    return chosen.groupBy("id", "x.licence").agg(F.max("x.dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """(id, licence, dice, n_units): a row per row's licence, with its best coefficient and the number of matching units.
 
     Rows without a match give nothing; null and empty texts never match; null ids are
@@ -82,11 +145,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     # a unit counts for the licence that it is most like
     best = found.groupBy("id", "unit").agg(F.max(F.struct("dice", "licence")).alias("best"))
     per_unit = best.select("id", "best.licence", "best.dice")
-    return per_unit.groupBy("id", "licence").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
+    whole = per_unit.groupBy("id", "licence").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
+    amid = _window_hits(df, id_col, text_col, templates, threshold)
+    both = whole.withColumn("_whole", F.lit(1)).unionByName(amid.withColumn("_whole", F.lit(0)))
+    return both.groupBy("id", "licence").agg(F.max(F.struct("_whole", "dice", "n_units")).alias("best")).select("id", "licence", "best.dice", "best.n_units")
 
 
 def oracle_sql(table: str = "documents", templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same scan in DuckDB SQL; every unit is compared with every template there."""
+    """The scan of whole lines and paragraphs for TEMPLATES in DuckDB SQL; every unit is compared with every template there."""
     quote = lambda s: s.replace("'", "''")
     values = ", ".join(f"('{quote(name)}', '{quote(text)}')" for name, text in templates)
     tokens = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"

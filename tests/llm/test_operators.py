@@ -379,3 +379,12 @@ def test_licences(spark, odd, none):
     docs = spark.createDataFrame([(1, "x\nLICENSED UNDER the Apache License, version 2.0!\nmore"), (2, "Released under the MIT License."), (3, "unrelated line of words"), (4, None), (5, "This work is licensed\nunder the GNU General Public License, version 3.")], "doc_id long, text string")
     assert sorted((r.id, r.licence) for r in licenses.scan(docs).collect()) == [(1, "Apache-2.0"), (2, "MIT"), (5, "GPL-3.0")]
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
+
+
+def test_licence_texts_and_notices_amid_words(spark):
+    mit = dict(enumerate(text for name, text in licenses.TEXTS if name == "MIT"))[0]
+    wrapped = "\n".join(" * " + " ".join(mit.split()[k : k + 11]) for k in range(0, 70, 11))
+    docs = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + wrapped + "\n\nmore"), (3, "It was written long ago by many hands. Released under the MIT License. More text follows here, and more."), (4, "the file, which is licensed under the Apache License, Version 2.0. as one reads, is old"), (5, "a licence is a permission and under the law of the land the MIT is a school")]
+    docs += [(6, "see: this work is licensed under the GNU General Public License, version 3. and so on"), (7, "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")]
+    found = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.licence) for r in found) == [(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "Apache-2.0"), (6, "GPL-3.0"), (7, "ISC")]
