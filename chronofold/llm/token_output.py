@@ -19,127 +19,190 @@ after its executor was lost replaces it by the same bytes.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
-from struct import pack
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, parts, text_of
+from .common import cut, fresh_path, parts, released, text_of
 
-#: A worker remembers the ids of at most so many frequent chunks, and of as many recent ones. It changes no result.
-REMEMBERED = 200_000
+#: Distinct words that a worker remembers with their ids, about (some 30 bytes each); beyond it, it starts anew.
+REMEMBERED = 1_000_000
+#: Characters of the texts whose chunks are encoded together, about (one longer text is encoded by itself).
+TOGETHER = 16 << 20
 #: Marks that may end a word; a run of them is one piece of its own for a byte-level pre-tokenizer.
 MARKS = ".,;:!?%$#&*|)"
+_BLANK = "\u0120"  # how byte-level vocabularies write the blank
 
 
-def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(256 + k) for k, b in enumerate(rest)}
+def gathered(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ragged rows flat[offsets[r]:offsets[r + 1]] for each r, laid end to end, and the offsets of the result."""
+    sizes = offsets[rows + 1] - offsets[rows]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[rows] - ends + sizes, sizes)
+    return flat[at], np.concatenate([[0], ends])
 
 
 class ChunkEncoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers, without special tokens.
+    """Ids of whole texts, without special tokens.
 
-    A byte-level pre-tokenizer always breaks before a single blank, so a text without
-    two blanks in a row is encoded chunk by chunk, and each distinct chunk only once
-    while it is remembered. Any other text, and any text with a piece of markup that
-    could be a special token, is encoded whole. Chunks seen twice move from the recent
-    to the frequent memory; both start anew when full.
+    A byte-level pre-tokenizer breaks before a single blank, so texts without two blanks in
+    a row are split at blanks and each distinct chunk of a batch is encoded once: distinct
+    chunks are laid end to end and encoded as one text, whose tokens that begin with a
+    blank begin the chunks. A word with marks behind it is two such pieces. Words that were
+    met before are looked up; what is remembered changes no result.
+
+    Texts with two blanks in a row, with an added token or with a token that has a blank
+    inside, and all texts under a tokenizer for which the above does not hold
+    (``by_chunks`` is false), are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.often: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a blank and letters alone: always one piece."""
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.tokenizer.model.tokenize(self.letters[0x20] + piece)]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't remembered; each stands behind a blank."""
-        out: dict[str, bytes] = {}
-        other: list[str] = []
-        recent, often = self.recent, self.often
-        for chunk in chunks:
-            if (known := recent.pop(chunk, None)) is not None:
-                often[chunk] = known
-                continue
-            base = chunk.rstrip(MARKS)
-            if not base.isalpha():
-                other.append(chunk)
-                continue
-            ids = often.get(base) or recent.get(base) or out.get(base)
-            if ids is None:
-                ids = out[base] = self._word(base)
-            if len(base) < len(chunk):
-                tail = chunk[len(base) :]
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails.clear()
-                    self.tails[tail] = self.whole(tail)
-                out[chunk] = ids + self.tails[tail]
-        for start in range(0, len(other), 20_000):
-            some = other[start : start + 20_000]
-            found = self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)
-            out.update((c, pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(some, found))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [None if "  " in t or "<|" in t else t.split(" ") for t in texts]
-        unseen: set[str] = set()
-        for words in split:
-            if words:
-                unseen.update(words)
-        unseen -= self.often.keys()
-        if len(self.often) > REMEMBERED:
-            self.often.clear()
-            unseen = {w for words in split if words for w in words}
-        fresh = self._learn(list(unseen))
-        self.often.update(fresh)
-        look = self.often.__getitem__
+        made = json.loads(self.tokenizer.to_str())
+        pre, model = made.get("pre_tokenizer") or {}, made["model"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        added = [t["content"] for t in made.get("added_tokens") or []]
+        inner = [self.tokenizer.decode([k], skip_special_tokens=False) for w, k in vocabulary.items() if _BLANK in w.lstrip(_BLANK) and w not in added]
+        self.marks = ["  ", *added, *inner]
+        simple = all(made.get(k) is None for k in ("normalizer", "truncation", "padding")) and not model.get("dropout")
+        self.by_chunks = simple and not any("\ufffd" in w for w in inner) and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+        self._forget()
+        self.opens = np.zeros(self.size, bool)
+        for word, k in vocabulary.items():
+            self.opens[k] = word.startswith(_BLANK)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(self.whole(text))
-            else:  # no blank stands before the first chunk
-                out.append((self.whole(words[0]) if words[0] else b"") + b"".join(map(look, words[1:])))
-        for chunk in fresh:
-            del self.often[chunk]
-        if len(self.recent) > REMEMBERED:
-            self.recent.clear()
-        self.recent.update(fresh)
+        for start in range(0, len(texts), 256):
+            found = self.tokenizer.encode_batch_fast(texts[start : start + 256], add_special_tokens=False)
+            out += [np.array(e.ids, np.uint32) for e in found]
         return out
 
+    def _behind_blanks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of chunks without blanks, none empty, each with a blank before it."""
+        flat = []
+        for start in range(0, len(chunks), 50_000):
+            some = chunks.slice(start, 50_000)
+            line = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py()
+            flat.append(np.array(self.tokenizer.encode_batch_fast([" " + line], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(flat) if flat else np.empty(0, np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(chunks):
+            raise ValueError("the tokenizer doesn't break at blanks")
+        return ids, np.append(starts, len(ids))
+
+    def _remember(self, names: pa.Array) -> np.ndarray:
+        """The places of distinct non-empty chunks in ``known``; unknown ones are encoded and added."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        unknown = names.filter(pc.is_null(pc.index_in(names, value_set=self.known)))
+        ids, offsets = self._behind_blanks(unknown)
+        self.known = pa.concat_arrays([self.known, unknown])
+        self.known_offsets = np.concatenate([self.known_offsets, self.known_offsets[-1] + offsets[1:]])
+        self.known_ids = np.concatenate([self.known_ids, ids])
+        return pc.index_in(names, value_set=self.known).to_numpy().astype(np.int64)
+
+    def _forget(self) -> None:
+        self.known, self.known_ids, self.known_offsets = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct chunks; a word's ids and those of the marks behind it are looked up apart."""
+        base = pc.utf8_rtrim(chunks, MARKS)
+        rest = pc.subtract(pc.binary_length(chunks), pc.binary_length(base)).to_numpy().astype(np.int64)
+        word = pc.utf8_is_alpha(base).to_numpy(zero_copy_only=False) & (rest < 8)
+        first = pc.if_else(pa.array(word), base, chunks).dictionary_encode()
+        names = first.dictionary
+        empty = pc.index(names, "").as_py()
+        place = np.full(len(names), -1, np.int64)
+        full = np.arange(len(names)) != empty
+        place[full] = self._remember(names.filter(pa.array(full)) if empty >= 0 else names)
+        # the marks behind a word, at most seven, as one number
+        ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset + 1 : chunks.offset + 1 + len(chunks)]
+        data, tail = np.frombuffer(chunks.buffers()[2] or b"", np.uint8), np.zeros(len(chunks), np.uint64)
+        for k in range(7):
+            has = np.flatnonzero(word & (rest > k))
+            tail[has] |= data[ends[has] - 1 - k].astype(np.uint64) << np.uint64(8 * k)
+        tails, second = np.unique(tail, return_inverse=True)
+        marks = [int(t).to_bytes(8, "big").lstrip(b"\0").decode() for t in tails]
+        extra = self.whole([" ", *marks])  # an empty chunk is a blank alone
+        n = len(self.known)
+        flat = np.concatenate([self.known_ids, *extra])
+        offsets = np.concatenate([self.known_offsets, self.known_offsets[-1] + np.cumsum([len(x) for x in extra])])
+        rows = np.empty(2 * len(chunks), np.int64)
+        rows[0::2] = np.where(place < 0, n, place)[first.indices.to_numpy()]
+        rows[1::2] = n + 1 + second
+        flat, ends_ = gathered(flat, offsets, rows)
+        return flat, ends_[::2]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of texts, their ids end to end, offsets), in order, for slices of ``texts`` (strings, no nulls)."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        while start < len(texts):
+            reach = np.cumsum(sizes[start : start + 65_536])
+            n = max(1, int(np.searchsorted(reach, TOGETHER, "right")))
+            yield from self._together(texts.slice(start, n))
+            start += n
+
+    def _together(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        hard = np.full(len(texts), not self.by_chunks)
+        for mark in self.marks:
+            hard |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        easy = texts.filter(pa.array(~hard)) if hard.any() else texts
+        lists = pc.split_pattern(easy, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        chunks = lists.flatten().dictionary_encode()
+        flat, offsets = self._distinct(chunks.dictionary)
+        rows = chunks.indices.to_numpy().astype(np.int64)
+        # no blank stands before a text's first chunk
+        opening = pc.take(chunks, pa.array(ends[:-1])).dictionary_decode().dictionary_encode() if len(easy) else chunks
+        firsts = self.whole(opening.dictionary.to_pylist()) if len(easy) else []
+        if len(easy):
+            rows[ends[:-1]] = len(offsets) - 1 + opening.indices.to_numpy()
+        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(x) for x in firsts], dtype=np.int64)])
+        flat = np.concatenate([flat, *firsts])
+        place = np.cumsum(~hard)
+        for lo in range(0, len(texts), 512):
+            hi = min(lo + 512, len(texts))
+            a, b = (place[lo - 1] if lo else 0), place[hi - 1]
+            ids, at = gathered(flat, offsets, rows[ends[a] : ends[b]])
+            at = at[ends[a : b + 1] - ends[a]]
+            if hard[lo:hi].any():
+                known, other = iter(np.split(ids, at[1:-1]) if b > a else ()), iter(self.whole([x for x, h in zip(texts.slice(lo, hi - lo).to_pylist(), hard[lo:hi]) if h]))
+                parts_ = [next(other if h else known) for h in hard[lo:hi]]
+                ids, at = np.concatenate(parts_), np.concatenate([[0], np.cumsum([len(x) for x in parts_])])
+            yield hi - lo, ids, at
+
 
 @functools.lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    return chunk_encoder(path).encode(texts)
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """The ids of each text."""
+    return [ids[a:b] for _, ids, at in chunk_encoder(path).encode(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
 
 
 def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Schema of the index of documents.
+DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+
+
 class ShardWriter:
     """Writes one shard's two files; memory holds one batch of sequences and the document index."""
 
@@ -154,12 +217,15 @@ class ShardWriter:
         self.sink = self.fs.open_output_stream(self.names[0] + self.temp)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.waiting: list[np.ndarray] = []
-        self.held = self.total = 0
-        self.docs: list[tuple[int | None, int, int]] = []
+        self.held = self.total = self.n_docs = 0
+        self.docs: list[pa.RecordBatch] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.total, len(ids)))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
+        """Documents whose ids (end ids included) lie end to end."""
+        starts, sizes = pa.array(self.total + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64())
+        self.docs.append(pa.RecordBatch.from_arrays([doc_ids, starts, sizes], schema=DOCS))
         self.total += len(ids)
+        self.n_docs += len(doc_ids)
         self.waiting.append(ids.astype(self.kind, copy=False))
         self.held += len(ids)
         if self.held >= self.length * self.rows:
@@ -184,13 +250,18 @@ class ShardWriter:
         self._flush(True)
         self.out.close()
         self.sink.close()
-        ids, starts, counts = zip(*self.docs) if self.docs else ((), (), ())
-        table = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
-        with self.fs.open_output_stream(self.names[1] + self.temp) as sink, pa.ipc.new_file(sink, table.schema) as out:
-            out.write_table(table, max_chunksize=65_536)
+        with self.fs.open_output_stream(self.names[1] + self.temp) as sink, pa.ipc.new_file(sink, DOCS) as out:
+            out.write_table(pa.Table.from_batches(self.docs, DOCS).combine_chunks(), max_chunksize=65_536)
         for name in self.names:
             self.fs.move(name + self.temp, name)
 
+    def abort(self) -> None:
+        """Remove what an interrupted shard has written."""
+        self.sink.close()
+        for name in self.names:
+            if self.fs.get_file_info(name + self.temp).type != pafs.FileType.NotFound:
+                self.fs.delete_file(name + self.temp)
+
 
 class ShardReader:
     """Random access to a shard: sequences by number, documents by their place in the order."""
@@ -241,46 +312,46 @@ class ShardReader:
             f.close()
 
 
-def _writer(folder: str, path: str, end_id: int, length: int, rows: int, release: bool):
+def _writer(folder: str, path: str, end_id: int, length: int, rows: int):
     def run(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        small = max(chunk_encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 65_536
+        shard, encoder = TaskContext.get().partitionId(), chunk_encoder(path)
+        kind = np.uint16 if max(encoder.size, end_id + 1) <= 65_536 else np.uint32
         out = None
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 512):
-                some = texts.slice(at, 512).to_pylist()
-                for doc_id, raw in zip(ids[at : at + 512], encode_texts(path, some)):
-                    out = out or ShardWriter(folder, shard, length, rows, kind=np.uint16 if small else np.uint32)
-                    out.add(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
-        if release:
-            chunk_encoder.cache_clear()
-            pa.default_memory_pool().release_unused()
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(out.docs)], "n_ids": [out.total]})
+        try:
+            for batch in batches:
+                start = 0
+                for n, ids, at in encoder.encode(batch.column(1)):
+                    out = out or ShardWriter(folder, shard, length, rows, kind=kind)
+                    out.add(batch.column(0).slice(start, n), np.insert(ids, at[1:], end_id), at + np.arange(n + 1))
+                    start += n
+            if out:
+                out.close()
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [out.n_docs], "n_ids": [out.total]})
+        except BaseException:
+            if out:
+                out.abort()
+            raise
 
     return run
 
 
-def write_dataset(df: DataFrame, folder: str, tokenizer_path: str, order: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows: int = 256, shards: int | None = None, release: bool = False) -> DataFrame:
+def write_dataset(df: DataFrame, folder: str, tokenizer_path: str, order: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, rows: int = 256, shards: int | None = None) -> DataFrame:
     """Encode every whole text, write the shards in ascending ``order``, return the manifest.
 
     The manifest has one row per shard that has documents: shard, n_docs, n_ids and
     start, the number of ids in all shards before it. Null texts count as empty (their
     document is the end id alone); null ids come first; rows that tie in ``order`` are
-    ordered by their text; repeated rows stay; an empty table writes no shard. With
-    ``release`` a worker gives the encoder's memory back after each task, for the stages
-    that come after; without it, the next task finds the remembered chunks.
+    ordered by their text; repeated rows stay; an empty table writes no shard. Ids are
+    whole numbers (other types are cast to long); other columns are ignored.
     """
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     keys = [F.col(c).asc_nulls_first() for c in order]
     cols = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), *[c for c in order if c not in ("_id", "_text")])
     dealt = cols.repartitionByRange(shards or parts(df), *keys).sortWithinPartitions(*keys, "_text")
-    manifest = cut(dealt.select("_id", "_text").mapInArrow(_writer(folder, tokenizer_path, end_id, length, rows, release), "shard int, n_docs long, n_ids long"), "manifest")
+    manifest = cut(dealt.select("_id", "_text").mapInArrow(released(_writer(folder, tokenizer_path, end_id, length, rows)), "shard int, n_docs long, n_ids long"), "manifest")
     # one row per shard: the offsets are a running sum over as many rows as there are files
     rows_ = sorted((r.shard, r.n_docs, r.n_ids) for r in manifest.collect())
     start, out = 0, []
@@ -321,7 +392,7 @@ def _doc_rows(found: list[tuple]) -> pa.RecordBatch:
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: its id, start over all shards, number and checksum of its ids, and where it begins."""
     todo = manifest.select("shard", "start").repartition(max(1, manifest.count()), "shard")
-    return todo.mapInArrow(_reader(folder), DOC_SCHEMA)
+    return todo.mapInArrow(released(_reader(folder)), DOC_SCHEMA)
 
 
 def token_documents(df: DataFrame, tokenizer_path: str, order: list[str] | None = None, folder: str | None = None, **how) -> DataFrame:
