@@ -67,8 +67,21 @@ def test_chunked_encoding_is_whole_encoding():
 
     tokenizer, rng = Tokenizer.from_file(VOCAB), random.Random(3)
     texts = ["".join(rng.choice(["a", "B", " ", "\n", ".", "'s", "é", "9", "don't", "漢", "!!", "\t", "word", "<|"]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    for text, raw in zip(texts, token_output.encode_texts(VOCAB, texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts += ["", " ", "\n \nb", "a\n \n\nb \n", "<|endoftext|> x", " lead", "trail ", "x\u00a0 \u00a0y", "no-break \u2028 line"]
+    assert token_output.chunk_encoder(VOCAB).by_chunks
+    for text, ids in zip(texts, token_output.encode_texts(VOCAB, texts), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_tokenizers_encode_whole(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(VOCAB)
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    tokenizer.save(path := str(tmp_path / "other.json"))
+    assert not token_output.chunk_encoder(path).by_chunks
+    for text, ids in zip(["word and word", "", "a  b"], token_output.encode_texts(path, ["word and word", "", "a  b"]), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # 2 ------------------------------------------------------------------------------------------------
@@ -101,6 +114,67 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.clean(odd, items.where("false")).count() == odd.count()
 
 
+def test_shards_change_no_score(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(f"w{rng.randint(0, 90)}" for _ in range(rng.randint(4, 30)))) for k in range(200)]
+    docs = [(k, " ".join(w for n in rng.sample(range(200), 3) for w in items[n][1].split()[: rng.randint(3, 30)])) for k in range(120)]
+    table, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (
+        {(r.doc_id, m.item_id, m.score, m.question_overlap, m.answer_overlap) for r in decontaminate.matches(table, tests, overlap=0.5, shard_chars=chars).collect() for m in r._found}
+        for chars in (8 << 20, 6000)
+    )
+    assert len(list(decontaminate.shards_of(tests, most=6000))) > 1
+    close = lambda found: {(a, b, round(c, 9), d, e) for a, b, c, d, e in found}
+    assert len(one) > 100 and close(one) == close(many)
+
+
+def slow_matches(text, items):
+    """Every passage against every item: BM25 by its definition, then overlap."""
+    counts = {k: Counter(decontaminate.words_of(t)) for k, t in items}
+    n, mean = len(items), sum(sum(c.values()) for c in counts.values()) / len(items)
+    df = Counter(w for c in counts.values() for w in c)
+    longest = max(sum(c.values()) for c in counts.values())
+
+    def impact(w, c):
+        idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+        return idf * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
+
+    def share(part, passage):
+        width = min(5, len(part))
+        grams = {tuple(part[k : k + width]) for k in range(len(part) - width + 1)}
+        return len(grams & {tuple(passage[k : k + width]) for k in range(len(passage) - width + 1)}) / len(grams) if grams and width else 1.0
+
+    words, found = decontaminate.words_of(text), {}
+    for start in range(0, max(1, len(words) - longest), longest):
+        passage = words[start : start + 2 * longest]
+        for k, t in items:
+            score = sum(impact(w, counts[k]) for w in set(passage) if w in counts[k])
+            if score >= 0.6 * sum(impact(w, counts[k]) for w in counts[k]) - 1e-9:
+                q, a = (share(p, passage) for p in decontaminate.question_and_answer(t))
+                if q >= 0.8 and a >= 0.8:
+                    found[k] = max(score, found.get(k, 0.0))
+    return found
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"w{rng.randint(0, 200)}" for _ in range(rng.randint(6, 20))) + ". " + " ".join(f"w{rng.randint(0, 200)}" for _ in range(rng.randint(2, 9))) + ".") for k in range(30)]
+    docs = []
+    for k in range(60):
+        words = [f"w{rng.randint(0, 200)}" for _ in range(rng.randint(0, 200))]
+        for n in rng.sample(range(30), rng.randint(0, 3)):
+            own = items[n][1].split()
+            if rng.random() < 0.5:
+                own[rng.randrange(len(own))] = "other"
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        docs.append((k, " ".join(words)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(k, n): s for k, t in docs for n, s in slow_matches(t, items).items()}
+    assert {(r.id, r.item_id) for r in got} == want.keys() and len(want) > 20
+    assert all(abs(r.score - want[r.id, r.item_id]) < 1e-6 for r in got)
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 
@@ -111,7 +185,7 @@ def slow_tree(texts, depth):
         padded = bytes(depth) + text + b"\0"
         for at in range(depth, len(padded)):
             for d in range(depth + 1):
-                context, node = bytes(c & 127 for c in padded[at - d : at]), 1
+                context, node = padded[at - d : at], 1
                 for bit in range(7, -1, -1):
                     b = padded[at] >> bit & 1
                     counts[context, node][b] += 1
@@ -139,7 +213,7 @@ def slow_tree(texts, depth):
             for bit in range(7, -1, -1):
                 b, p, rest = padded[at] >> bit & 1, 0.0, 1.0
                 for d in range(depth + 1):
-                    key = bytes(c & 127 for c in padded[at - d : at]), node
+                    key = padded[at - d : at], node
                     n = counts.get(key, (0, 0))
                     w = 1.0 if d == depth else share.get(key, 1.0)
                     p += rest * w * (n[b] + 0.5) / (sum(n) + 1)
@@ -151,13 +225,14 @@ def slow_tree(texts, depth):
     return score
 
 
-def test_lm_scores_equal_the_definition(spark, odd):
+@pytest.mark.parametrize("depth", [3, 5])
+def test_lm_scores_equal_the_definition(spark, odd, depth):
     rng = random.Random(5)
-    texts = ["".join(rng.choice(["the ", "cat ", "Sat ", "on ", "é", "a\n"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts = ["".join(rng.choice(["the ", "cat ", "Sat ", "on ", "é", "i", "a\n"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
-    got = {r.id: r for r in ctw.score_texts(docs, id_bucket("doc_id", 7) != 2, depth=3, block_bytes=700).collect()}
+    got = {r.id: r for r in ctw.score_texts(docs, id_bucket("doc_id", 7) != 2, depth=depth, block_bytes=700).collect()}
     taught = [lowered(t) for k, t in enumerate([*texts, ""]) if zlib.crc32(str(k).encode()) % 7 != 2]
-    score = slow_tree([t.encode() for t in taught], 3)
+    score = slow_tree([t.encode() for t in taught], depth)
     tokens = Counter(w for t in taught for w in [*WORDS.findall(t), None])
     n, v = sum(tokens.values()), len(tokens)
     for k, t in enumerate([*texts, ""]):
@@ -170,6 +245,26 @@ def test_lm_scores_equal_the_definition(spark, odd):
     assert ctw.score_texts(odd.where("false"), F.lit(True)).count() == 0
 
 
+def test_counts_beyond_32_bits_and_all_bytes_of_a_context():
+    keys, counts = np.array([3, 2**56 - 1, 2**63 + 5], np.uint64), np.array([2**32 + 7, 2**40, 0])
+    got = ctw.unpack_keys(ctw.pack_keys(keys, counts))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+    assert ctw.unpack_floats(ctw.pack_floats(counts), np.int64).tolist() == counts.tolist()
+    for depth in (3, 6):  # contexts that differ in their top bits alone are different grams
+        grams = [next(ctw.Joined([t], depth).slices(99))[2].tolist() for t in (b"\xc3abz", b"\x43abz")]
+        assert len(set(grams[0]) & set(grams[1])) == 0 + (depth == 3)  # the end, three bytes later
+
+
+def test_slices_of_texts_give_each_gram_once():
+    rng = random.Random(6)
+    texts = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 5, 900]))) for _ in range(60)]
+    whole = [(k, g) for first, last, keys, sizes in ctw.Joined(texts, 4).slices(1 << 20) for k, g in zip(np.repeat(np.arange(first, last), sizes), keys.tolist())]
+    parts = [(k, g) for first, last, keys, sizes in ctw.Joined(texts, 4).slices(37, 3) for k, g in zip(np.repeat(np.arange(first, last), sizes), keys.tolist())]
+    assert whole == parts and len(whole) == sum(len(t) + 1 for t in texts)
+    padded = bytes(4) + texts[3] + b"\0"
+    assert [g for k, g in whole if k == 3] == [int.from_bytes(padded[at - 4 : at][::-1] + padded[at : at + 1], "big") for at in range(4, len(padded))]
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
@@ -197,7 +292,7 @@ def test_schedule(spark):
     for t in range(1, total):
         for s in ("a", "b", "c"):
             lead = sum(1 for (u, _), k in placed.items() if u == s and k < t) - weights[s] * t / (total - 1)
-            assert abs(lead) < 1 + 1 / total
+            assert abs(lead) < 1
 
 
 def test_mixing_keeps_every_row(spark, odd, none):
@@ -211,9 +306,93 @@ def test_mixing_keeps_every_row(spark, odd, none):
     assert all(a.source != b.source or a.position < b.position for a, b in zip(rows, rows[1:]))
 
 
+def test_weights_are_whole(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    for odd in (0.7, 0.0, -1.0):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, spark.createDataFrame([("s0", odd), ("s1", 2.0)], "source string, weight double"))
+    got = mixing.mix(docs, spark.createDataFrame([("s0", 3.0), ("s1", 1.0)], "source string, weight double"), block=1)
+    assert [r.source for r in got.orderBy("position").limit(8).collect()].count("s0") == 6
+
+
+def test_small_sources_keep_their_share(spark):
+    sizes = spark.createDataFrame([("big", 5000)] + [(f"s{k}", 1) for k in range(1000)], "_source string, _blocks long")
+    rows = {r._source: r.weight for r in mixing.power_weights(sizes).collect()}
+    wanted = 5000**0.7 / (5000**0.7 + 1000)
+    assert abs(rows["big"] / sum(rows.values()) - wanted) < 0.01 and min(rows.values()) == 1
+
+
 # 5, 7 ---------------------------------------------------------------------------------------------
 
 
+def test_folding_looks_at_each_character_by_itself():
+    words = lexicon.Lexicon([("idiot", 3.0, True)])
+    for text in ("ıdıot", "id\u00adiot", "ïdïot", "i\u0308diot", "ѕ ıdıot"):
+        assert words.match(text)[1] == words.match(text + " 漢")[1] == words.match(text + " plain")[1] == 1, text
+
+
+def slow_hits(text, entries, exceptions):
+    """Each entry tried at each place of the folded text."""
+    plain = lexicon.fold(text)
+    found = {}
+    for view in {plain.translate(lexicon._SUBST), plain.replace("1", "l").translate(lexicon._SUBST)}:
+        safe = [(k, k + len(p)) for p in exceptions for k in range(len(view)) if view.startswith(p, k) and (k == 0 or not plain[k - 1].isalnum())]
+        for pattern, weight, whole in entries:
+            for k in range(len(view)):
+                if view.startswith(pattern, k) and (k == 0 or not plain[k - 1].isalnum()) and not any(a <= k < b for a, b in safe):
+                    end = k + len(pattern)
+                    if not whole or end == len(plain) or not plain[end].isalpha():
+                        found[k] = max(weight, found.get(k, 0.0))
+    return sum(found.values()), len(found), len(plain.split())
+
+
+def test_lexicon_equals_brute_force():
+    rng = random.Random(3)
+    entries = [("abba", 2.0, False), ("ab", 1.0, True), ("lola", 1.5, True), ("lo", 0.5, False), ("bad clown", 3.0, True)]
+    words = lexicon.Lexicon(entries, exceptions=("ab lola",))
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b", "l", "o", "0", "1", "@", " ", "é", "а", "ab ", "lola", "4", "bad clown", "\u00ad", "."]) for _ in range(rng.randint(0, 14)))
+        got, want = words.match(text), slow_hits(text, entries, ("ab lola",))
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-9, text
+
+
+def test_short_words_and_unsure_texts():
+    rows = [(f"you ox number {k}", 1) for k in range(20)] + [(f"a fine day number {k}", 0) for k in range(20)] + [("torn", 1), ("torn", 0)]
+    got = lexicon.learn(rows)
+    assert ("ox", True) in {(p, whole) for p, _, whole in lexicon.entries_of(got)} and got.score("an ox") > 0.5 > got.score("a box")
+
+
+def test_ftrl_equals_its_definition():
+    rng = np.random.default_rng(1)
+    model = quality.Ftrl(bits=4, alpha=0.3, beta=0.7, l1=0.1, l2=0.2)
+    z, n, bz, bn = [0.0] * 16, [0.0] * 16, 0.0, 0.0
+    for _ in range(200):
+        slots = np.sort(rng.choice(16, 5, replace=False))
+        values, y = rng.random(5), int(rng.random() < 0.4)
+        w = {i: 0.0 if abs(z[i]) <= 0.1 else -(z[i] - math.copysign(0.1, z[i])) / ((0.7 + math.sqrt(n[i])) / 0.3 + 0.2) for i in slots}
+        b = -bz / ((0.7 + math.sqrt(bn)) / 0.3)
+        p = 1 / (1 + math.exp(-(b + sum(w[i] * v for i, v in zip(slots, values)))))
+        assert abs(model.update(slots, values, y) - p) < 1e-9
+        for i, v in zip(slots, values):
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w[i]
+            n[i] += g * g
+        bz, bn = bz + (p - y) - (math.sqrt(bn + (p - y) ** 2) - math.sqrt(bn)) / 0.3 * b, bn + (p - y) ** 2
+    weights, bias = model.weights()
+    assert abs(bias + bz / ((0.7 + math.sqrt(bn)) / 0.3)) < 1e-9 and (weights != 0).any()
+
+
+def test_hashed_features_are_distinct_words_pairs_and_shapes():
+    hasher = quality.Hasher()
+    slots, values = hasher.features("One two two, 3 four")
+    dense, sparse = values == 1, values != 1
+    assert len(set(slots.tolist())) == len(slots) and abs((values[sparse] ** 2).sum() - 1) < 1e-9 and dense.sum() >= 3
+    again, _ = quality.Hasher().features("One two two, 3 four")
+    assert again.tolist() == slots.tolist()
+    other, _ = hasher.features("One two two, 3 five")
+    assert len(set(slots.tolist()) & set(other.tolist())) > len(slots) / 2
+
+
 def test_lexicon_folds_and_excepts(odd, none):
     words = lexicon.Lexicon([("idiot", 3.0, True), ("clown", 2.0, True), ("grim", 1.0, False)])
     hits = lambda t: words.match(t)[1]
@@ -294,19 +473,56 @@ def test_keep_one_finds_every_pair_of_the_rule(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
 
 
-def test_every_close_print_meets_and_is_viable():
+def chain_rows(fp, length):
+    return {(start, fp & mask & ~clear) for start in range(5) for mask, clear in simhash.chain_keys(start, 4, length) if fp & clear == clear}
+
+
+def test_every_close_print_meets_on_a_chain():
     rng = random.Random(4)
-    for m in (5, 6, 7, 8):
-        diffs = [sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(2000)]
-        got = simhash.viable(np.array(diffs, np.uint64), m, 4)
-        assert got.tolist() == [d.bit_count() <= 4 for d in diffs]
+    for length in (2, 3):
+        for _ in range(60 if length == 2 else 12):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4)))
+            met = {start for start, _ in chain_rows(a, length) & chain_rows(b, length)}
+            kept, _ = simhash.follows(np.full(len(met), a ^ b, np.uint64), np.array(sorted(met)), 4)
+            assert len(kept) > 0
+    diffs = np.array([sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(5000)], np.uint64)
+    starts = np.arange(5000) % 5
+    kept, left = simhash.follows(diffs, starts, 4)
+    assert left == sorted(left, reverse=True) and left[-1] == len(kept)
+    any_start = {k for start in range(5) for k in simhash.follows(diffs, np.full(5000, start), 4)[0].tolist()}
+    assert any_start == set(np.flatnonzero(np.bitwise_count(diffs) <= 4).tolist())
+
+
+def test_longer_prefixes_remove_candidates_before_the_full_check(spark):
+    """Of the pairs that meet by their first two segments, each longer prefix leaves fewer."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 14))) for b in base for _ in range(60)]
+    by_key = defaultdict(list)
+    for k, fp in enumerate(prints):
+        for key in chain_rows(fp, 2):
+            by_key[key].append(k)
+    pairs = sorted({(start, a, b) for (start, _), own in by_key.items() for a in own for b in own if a < b})
+    diffs = np.array([prints[a] ^ prints[b] for _, a, b in pairs], np.uint64)
+    kept, left = simhash.follows(diffs, np.array([s for s, *_ in pairs]), 4)
+    assert len(pairs) > left[1] > left[2] > left[3] > left[4] > 0
+    found = {pairs[k][1:] for k in kept}
+    assert found == {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 4}
 
 
 def test_large_cells_and_dense_groups(spark):
     rows = [(k, sum(1 << b for b in range(9) if k >> b & 1)) for k in range(512)] + [(1000, 1 << 63 - 1)]
     reps = spark.createDataFrame(rows, "rep long, fp long")
-    got = {r.node: r.component for r in components(simhash.links(reps, cell_rows=64)).collect()}
-    assert all(got[k] == 0 for k in range(512))
+    for length in (2, 3):
+        got = {r.node: r.component for r in components(simhash.links(reps, cell_rows=64, length=length)).collect()}
+        assert all(got[k] == 0 for k in range(512)) and 1000 not in got
+
+
+def test_star_of_many_leaves(spark):
+    edges = spark.range(1, 60_000).selectExpr("id as a", "0L as b").repartition(16).unionByName(spark.createDataFrame([(70_000, 59_999), (70_001, 70_000)], "a long, b long"))
+    got = components(edges)
+    assert got.count() == 60_002 and got.where("component <> 0").count() == 0
 
 
 def test_components(spark):
@@ -388,3 +604,29 @@ def test_licence_texts_and_notices_amid_words(spark):
     docs += [(6, "see: this work is licensed under the GNU General Public License, version 3. and so on"), (7, "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")]
     found = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.id, r.licence) for r in found) == [(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "Apache-2.0"), (6, "GPL-3.0"), (7, "ISC")]
+
+
+# names and types that clash ---------------------------------------------------------------------------
+
+
+def test_clashing_names_and_text_ids(spark):
+    import corpus_pipeline
+
+    names = ["_h1", "_h2", "_place", "_kept", "_found", "_found0", "_m", "row", "file", "number", "component", "id"]
+    texts = ["a plain line of words that nobody else has written", "you are a fool", None, "", "a plain line of words that nobody else has written"]
+    rows = [(k, t, "s", "en", 3, *([42] * len(names)), {"k": k}) for k, t in enumerate([*texts, texts[0]])]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"{n} long" for n in names) + ", tags map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    same = lambda df: sorted(repr(r) for r in df.select(*docs.columns).collect())
+    assert same(mixing.mixed_documents(docs)) == same(docs) == same(mixing.mix(docs)) == same(decontaminate.clean(docs, spark.createDataFrame([(1, "Is it so? No it is not.")], "item_id long, text string")))
+    assert same(lexicon.score_texts(docs, lexicon.Lexicon([("fool", 1.0, True)]))) == same(docs)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1, 2, 3] and simhash.keep_one(docs).columns == docs.columns
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "/root/testdata/sf0.001")
+        assert kept.columns == docs.columns and kept.where("_found = 42 and _m = 42 and tags['k'] = doc_id").count() == kept.count() > 0, name
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id")))
+    assert {r.id: r.component for r in simhash.near_duplicates(named).collect()} == {"n0": "n0", "n1": "n1", "n2": "n2", "n3": "n2", "n4": "n0", "n5": "n0"}
+    assert sorted(r.doc_id for r in simhash.keep_one(named).collect()) == ["n0", "n1", "n2", "n3"]
+    assert {r.id for r in decontaminate.contaminated(named, spark.createDataFrame([(1, texts[0])], "item_id long, text string")).collect()} == {"n0", "n4", "n5"}
+    assert mixing.mix(named).count() == 6 and licenses.scan(named).count() == 0
