@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from . import fold
+
 #: Span of the exponent within one block of an exponential scan; e**SPAN stays far from overflow.
 SPAN = 200.0
 
@@ -110,7 +112,7 @@ class Series:
         """
         com = _com(alpha, com)
         if adjust == "linear":
-            return self._linear(df, x, out, com, min_periods)
+            return self._linear(df, x, out, com, {"ignore_na": ignore_na, "min_periods": min_periods, "initial": initial})
         if com == 0:
             own = self.ffill(F.col(x))
             own = own if initial is None else F.coalesce(own, F.lit(float(initial)))
@@ -158,36 +160,60 @@ class Series:
             d = d.withColumn(name, own + carried)
         return d.drop("_ewb")
 
-    def _linear(self, df: DataFrame, x: str, out: str, com: float, min_periods: int) -> DataFrame:
-        """adjust="linear": a running mean that becomes exponential once com rows are seen; exact where nothing is missing.
+    def _linear(self, df: DataFrame, x: str, out: str, com: float, how: dict) -> DataFrame:
+        """adjust="linear": the weight grows by one per row up to com and a missing row takes one away, which has no closed form: an ordered fold."""
+        step = fold.ewma_step(com=com, adjust="linear", ignore_na=how["ignore_na"], min_periods=how["min_periods"])
+        start = fold.ewma_start(fold.NAN if how["initial"] is None else how["initial"])
+        kept = [c for c in df.columns if c != out]
+        return fold.fold(df, list(self.key), list(self.order), [x], step, start, f"{out} double", keep=kept).select(*kept, out)
+
+    def ewma_together(self, df: DataFrame, columns: dict[str, str], *, alpha: float | None = None, com: float | None = None) -> DataFrame:
+        """The adjusted means of several columns (output name -> column) in one scan.
 
-        Missing rows keep the mean and do not age it; ``fold.linear_ewma`` ages it.
+        Where missing rows age a mean, the exponent is the row's number whatever is missing,
+        so the columns share its blocks and each brings a sum and a weight.
         """
-        c = F.col(x)
-        d = df.withColumn("_ewn", F.count(c).over(self.so_far()))
-        w = F.least(F.col("_ewn") - 1, F.lit(com))
-        loss = F.when(c.isNull() | (F.col("_ewn") <= 1), F.lit(0.0)).otherwise(F.log((w + 1) / w)) if com > 0 else F.lit(0.0)
-        d = d.withColumn("_ewl", F.sum(loss).over(self.so_far())).withColumn("_ewl", F.when(c.isNotNull(), F.col("_ewl")))
-        d = self._scan(d, {"_ews": c / (w + 1)})
-        kept = F.last(F.when(c.isNotNull(), F.col("_ews")), ignorenulls=True).over(self.so_far())
-        return d.withColumn(out, F.when(F.col("_ewn") >= min_periods, kept)).drop("_ewn", "_ewl", "_ews")
+        com = _com(alpha, com)
+        if com == 0:
+            for out, x in columns.items():
+                df = self.ewma(df, x, out, com=0.0)
+            return df
+        rate = -math.log(com / (1 + com))
+        d = df.withColumn("_ewl", F.row_number().over(self.window()) * F.lit(rate))
+        terms = {}
+        for out, x in columns.items():
+            terms |= {f"_ews_{out}": F.col(x), f"_ewd_{out}": F.when(F.col(x).isNotNull(), F.lit(1.0))}
+        d = self._scan(d, terms)
+        means = {out: F.last(F.when(F.col(x).isNotNull(), F.col(f"_ews_{out}") / F.col(f"_ewd_{out}")), ignorenulls=True).over(self.so_far()) for out, x in columns.items()}
+        return d.withColumns(means).drop("_ewl", *terms)
 
     def ewmvar(self, df: DataFrame, x: str, out: str, *, alpha: float | None = None, com: float | None = None, adjust: bool = True) -> DataFrame:
         """Biased exponentially weighted variance; missing rows are skipped, leading ones give 0."""
+        com = _com(alpha, com)
         c = F.col(x)
         d = df.withColumn("_xx", c * c)
-        for name, source in (("_m1", x), ("_m2", "_xx")):
-            d = self.ewma(d, source, name, alpha=alpha, com=com, adjust=adjust, ignore_na=True)
+        if adjust and com > 0:  # x and its square are missing together, and missing rows don't age: both share the count of seen rows
+            seen = F.count(c).over(self.so_far())
+            d = d.withColumn("_ewl", F.when(c.isNotNull(), seen * F.lit(-math.log(com / (1 + com)))))
+            d = self._scan(d, {"_s1": c, "_s2": F.col("_xx"), "_sw": F.when(c.isNotNull(), F.lit(1.0))})
+            both = F.when(c.isNotNull(), F.struct((F.col("_s1") / F.col("_sw")).alias("m1"), (F.col("_s2") / F.col("_sw")).alias("m2")))
+            d = d.withColumn("_m", F.last(both, ignorenulls=True).over(self.so_far())).withColumns({"_m1": F.col("_m.m1"), "_m2": F.col("_m.m2")}).drop("_m", "_s1", "_s2", "_sw", "_ewl")
+        else:
+            for name, source in (("_m1", x), ("_m2", "_xx")):
+                d = self.ewma(d, source, name, com=com, adjust=adjust, ignore_na=True)
         return d.withColumn(out, F.coalesce(F.greatest(F.col("_m2") - F.col("_m1") * F.col("_m1"), F.lit(0.0)), F.lit(0.0))).drop("_xx", "_m1", "_m2")
 
     def ewmcov(self, df: DataFrame, x: str, y: str, out: str, *, assume_centered: bool = False, **how) -> DataFrame:
         """Exponentially weighted covariance of two columns of a row."""
         d = df.withColumn("_xy", F.col(x) * F.col(y))
-        d = self.ewma(d, "_xy", "_mxy", **how)
-        if assume_centered:
-            return d.withColumn(out, F.col("_mxy")).drop("_xy", "_mxy")
-        d = self.ewma(self.ewma(d, x, "_mx", **how), y, "_my", **how)
-        return d.withColumn(out, F.col("_mxy") - F.col("_mx") * F.col("_my")).drop("_xy", "_mxy", "_mx", "_my")
+        means = {"_mxy": "_xy"} if assume_centered else {"_mxy": "_xy", "_mx": x, "_my": y}
+        if set(how) <= {"alpha", "com"}:
+            d = self.ewma_together(d, means, **how)
+        else:
+            for name, source in means.items():
+                d = self.ewma(d, source, name, **how)
+        cov = F.col("_mxy") if assume_centered else F.col("_mxy") - F.col("_mx") * F.col("_my")
+        return d.withColumn(out, cov).drop("_xy", *means)
 
 
 def _com(alpha: float | None, com: float | None) -> float:

@@ -57,6 +57,26 @@ def synchronise(local: DataFrame, secondaries: list[Secondary], time: str = "ts"
     return out
 
 
+def local_stream(streams: dict[str, DataFrame], local: str | None = None) -> str:
+    """The stream whose rows set the time: the one that is named, or the only one."""
+    if local is not None:
+        if local not in streams:
+            raise ValueError(f"no stream {local!r}")
+        return local
+    if len(streams) != 1:
+        raise ValueError("several timelines: name the local one")
+    return next(iter(streams))
+
+
+def synchronise_streams(streams: dict[str, DataFrame], secondaries: dict[str, Secondary] | None = None, local: str | None = None, **how) -> DataFrame:
+    """The local stream with the others as ``secondaries`` describes them; a single stream is given as it is."""
+    name = local_stream(streams, local)
+    others = [s for s in streams if s != name]
+    if missing := [s for s in others if s not in (secondaries or {})]:
+        raise ValueError(f"nothing says how to see {missing}")
+    return synchronise(streams[name], [secondaries[s] for s in others], **how) if others else streams[name]
+
+
 def _one(local: DataFrame, sec: Secondary, time: str, order: tuple[str, ...]) -> DataFrame:
     right = _payload(sec)
     seen = F.struct("_nth", "_row")

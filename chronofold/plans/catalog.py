@@ -1,7 +1,8 @@
 """The library's queries over the driver's tables, and the DuckDB SQL that they are held against.
 
 Series are events by user in the order (ts, event_id); x is the value, missing on every
-seventh id. Doubles are rounded to six places on both sides.
+seventh id. Doubles that are summed in another order by the two sides are rounded to six
+places on both; folds do the same operations in the same order, and are not rounded.
 """
 
 from __future__ import annotations
@@ -60,6 +61,17 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def dbl(value: float) -> str:
+    """A double literal, exact in SQL."""
+    text = repr(float(value))
+    return text if "e" in text else f"{text}e0"
+
+
+def dot_sql(a: list[str], b: list[str]) -> str:
+    """The same sum, from left to right, as the folds make."""
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
+
+
 def picked(df: DataFrame, *names: str, keep: str = "event_id") -> DataFrame:
     return df.select(keep, *[r6(n).alias(n) for n in names])
 
@@ -99,11 +111,28 @@ over_events("floor_datetime", lambda: {"day": scalar.floor_datetime(F.col("ts"))
 over_events("encode_int64", lambda: dict(zip(("high", "low"), scalar.encode_int64(F.col("event_id") * 7_000_000_019))), "(event_id * 7000000019) // 4294967296 AS high, (event_id * 7000000019) % 4294967296 AS low")
 over_events("clip", lambda: {"y": scalar.clip(v(), 10.0, 60.0)}, "greatest(least(value, 60.0), 10.0) AS y")
 over_events("conditional_passthrough", lambda: {"y": ev.conditional(v() > 50, v() * 2, v())}, "CASE WHEN value > 50 THEN value * 2 ELSE value END AS y")
-over_events("hierarchical_blend", lambda: {"y": r6(ev.blend(v(), S.expanding_mean(v())))}, f"round(0.9 * value + 0.1 * avg(value) OVER ({U}), 6) AS y")
+over_events("hierarchical_blend", lambda: {"y": ev.blend(v(), S.cumulative(F.round(v() * 100).cast("long")) / S.counter() / 100)}, f"0.9 * value + 0.1 * (sum(CAST(round(value * 100) AS BIGINT)) OVER ({U}) / row_number() OVER ({W}) / 100) AS y")
 over_events("position_sizing", lambda: {"y": r6(ix.position_size((v() - 50) / 40))}, "round(sign((value - 50) / 40) * least(abs((value - 50) / 40), 1.0) * 0.02, 6) AS y")
 over_events("lookback_pairs", lambda: {"target": F.array_join(F.transform(S.buffer(v(), 3, -1.0), lambda a: F.round(a, 2).cast("decimal(18,2)").cast("string")), ","), "before": S.lag(v())}, f"concat_ws(',', {', '.join(f'CAST(CAST(round(lag(value, {k}, -1.0) OVER ({W}), 2) AS DECIMAL(18,2)) AS VARCHAR)' for k in (2, 1, 0))}) AS target, lag(value) OVER ({W}) AS before")
 over_events("buffer", lambda: {f"b{k}": F.get(S.buffer(x(), 4), F.lit(k)) for k in range(4)}, ", ".join(f"lag(x, {3 - k}) OVER ({W}) AS b{k}" for k in range(4)))
-over_events("sparse_window_filter", lambda: {"missing": F.size(F.filter(S.buffer(x(), 8), lambda a: a.isNull())).cast("long")}, f"8 - count(x) OVER ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS missing")
+over_events("int64_round_trip", lambda: {"back": scalar.decode_int64(*scalar.encode_int64(F.col("event_id") * -7_000_000_019)), "later": scalar.less(scalar.encode_int64(F.lit(50_000_000_000_000)), scalar.encode_int64(F.col("event_id") * 7_000_000_019))}, "event_id * -7000000019 AS back, event_id * 7000000019 > 50000000000000 AS later")
+over_events("timestamp_round_trip", lambda: (lambda high, low: {"high": high, "low": low, "back": scalar.decode_timestamp(high, low)})(*scalar.encode_timestamp(F.col("ts"))), "epoch_ns(ts) // 4294967296 AS high, epoch_ns(ts) % 4294967296 AS low, CAST(ts AS TIMESTAMP) AS back")
+over_events("array_ops", lambda: (lambda a, b: {"dot": r6(scalar.dot(a, b)), "cross": r6(F.get(F.get(scalar.outer(a, b), F.lit(1)), F.lit(2))), "rolled": r6(F.get(scalar.roll(a, 1), F.lit(0))), "back": r6(F.get(scalar.roll(a, -1), F.lit(0))), "product": r6(F.get(scalar.matvec(F.array(b, a), a), F.lit(1))), "second": r6(scalar.access(a, F.col("event_id") % 4 - 1))})(scalar.stack(v(), v() / 2, F.lit(3.0)), F.array(F.lit(0.5), F.lit(2.0), v() / 10)), "round(value * 0.5 + value + 0.3 * value, 6) AS dot, round(value * value / 20, 6) AS cross, 3.0 AS rolled, round(value / 2, 6) AS back, round(value * value * 1.25 + 9, 6) AS product, round(CASE event_id % 4 WHEN 1 THEN value WHEN 2 THEN value / 2 WHEN 3 THEN 3 END, 6) AS second")
+over_events("relevant_states", lambda: (lambda found: {**{f"s{k}": F.get(found[0], F.lit(k)) for k in (0, 1)}, "weight": r6(F.get(found[1], F.lit(0)))})(ev.relevant_states(ev.history(S, v(), 4), 2)), f"coalesce(lag(value, 4) OVER ({W}), lag(value, 3) OVER ({W}), lag(value, 2) OVER ({W}), lag(value, 1) OVER ({W})) AS s0, CASE WHEN lag(value, 4) OVER ({W}) IS NOT NULL THEN lag(value, 3) OVER ({W}) WHEN lag(value, 3) OVER ({W}) IS NOT NULL THEN lag(value, 2) OVER ({W}) WHEN lag(value, 2) OVER ({W}) IS NOT NULL THEN lag(value, 1) OVER ({W}) END AS s1, round(1.0 / nullif(least(row_number() OVER ({W}) - 1, 4), 0), 6) AS weight")
+
+
+@query("attention_state", f"WITH {E}, h AS (SELECT event_id, value / 100 AS q, list_filter([{', '.join(f'lag(value / 100, {k}) OVER ({W})' for k in (4, 3, 2, 1))}], lambda v: v IS NOT NULL) AS past FROM e), p AS (SELECT *, list_max(list_transform(past, lambda v: v * q)) AS top FROM h) SELECT event_id, round(CASE WHEN len(past) = 0 THEN q ELSE q + 0.1 * list_sum(list_transform(past, lambda v: v * exp(v * q - top))) / list_sum(list_transform(past, lambda v: exp(v * q - top))) END, 6) AS y FROM p")
+def _(spark, d):
+    e = tables.events(spark, d).withColumn("q", v() / 100)
+    return picked(e.withColumn("past", ev.history(S, F.col("q"), 4)).withColumn("y", ev.attended(F.col("q"), F.col("past"))), "y")
+
+
+@query("sparse_window_filter", f"WITH {E} SELECT event_id, missing FROM (SELECT event_id, 8 - count(x) OVER ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS missing FROM e) WHERE missing < 0.25 * 8")
+def _(spark, d):
+    e = tables.events(spark, d).withColumn("buf", S.buffer(x(), 8))
+    return e.select("event_id", F.size(F.filter("buf", lambda a: a.isNull())).cast("long").alias("missing")).where(F.col("missing") < 0.25 * 8)
+
+
 over_events("conditional_signal", lambda: {"y": r6(F.coalesce(F.last(F.when(v() > 80, v()), ignorenulls=True).over(S.so_far()), F.lit(-999.0)))}, f"round(coalesce(last_value(CASE WHEN value > 80 THEN value END IGNORE NULLS) OVER ({U}), -999), 6) AS y")
 
 
@@ -117,14 +146,35 @@ def _(spark, d):
     return tables.events(spark, d).select("event_id", S.counter().alias("n")).where("n % 10 = 0")
 
 
-@query("skip_first", f"SELECT event_id, value FROM (SELECT *, row_number() OVER ({W}) AS n FROM events) WHERE n > 1")
+def _same(state, row):
+    return (float(row[0]),), state
+
+
+@query("skip_first", f"SELECT event_id, value AS y FROM (SELECT *, row_number() OVER ({W}) AS n FROM events) WHERE n > 1")
 def _(spark, d):
-    return tables.events(spark, d).withColumn("n", S.counter()).where("n > 1").select("event_id", "value")
+    return _folded(spark, d, ["value"], (_same, lambda: None), "y double", skip_first=True).select("event_id", "y")
 
 
-@query("stop_after_n", f"SELECT event_id, value FROM (SELECT *, row_number() OVER ({W}) AS n FROM events) WHERE n <= 3")
+@query("stop_after_n", f"SELECT event_id, value AS y FROM (SELECT *, row_number() OVER ({W}) AS n FROM events) WHERE n <= 3")
 def _(spark, d):
-    return tables.events(spark, d).withColumn("n", S.counter()).where("n <= 3").select("event_id", "value")
+    return _folded(spark, d, ["value"], (_same, lambda: None), "y double", stop=3).select("event_id", "y")
+
+
+@query("recent_rows", "SELECT event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
+def _(spark, d):
+    return mem.recent(tables.events(spark, d), S, 3).select("event_id", "value")
+
+
+@query("indexed_access", "SELECT e.event_id, d.value AS y FROM events e LEFT JOIN events d ON d.event_id = e.event_id - 5 AND e.event_id >= 5")
+def _(spark, d):
+    data = tables.table(spark, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("y"))
+    return tables.access_rows(tables.table(spark, d, "events").select("event_id"), data, F.col("event_id") - 5).select("event_id", "y")
+
+
+@query("scalar_broadcast", "SELECT event_id, value - m AS y FROM events CROSS JOIN (SELECT max(value) AS m FROM events)")
+def _(spark, d):
+    e = tables.table(spark, d, "events")
+    return tables.with_scalar(e, e.agg(F.max("value").alias("m")), "m").select("event_id", (v() - F.col("m")).alias("y"))
 
 
 @query("train_valid_split", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' ELSE 'valid' END AS part FROM events")
@@ -157,6 +207,17 @@ def _(spark, d):
     return scalar.label_encode(tables.table(spark, d, "events"), "event_type", "code").select("event_id", "code")
 
 
+@query("label_decode", "WITH l AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, code, event_type AS label FROM events JOIN l USING (event_type)")
+def _(spark, d):
+    e = tables.table(spark, d, "events")
+    codes = scalar.label_codes(e, "event_type", "code")
+    coded = scalar.label_encode(e.select("event_id", "event_type"), "event_type", "code").drop("event_type")
+    return scalar.label_decode(coded, codes, "code", "event_type").select("event_id", "code", F.col("event_type").alias("label"))
+
+
+over_events("min_max_unscale", lambda: {"y": r6(scalar.min_max_unscale(scalar.min_max_scale(v(), F.lit(10.0), F.lit(60.0)), F.lit(10.0), F.lit(60.0)))}, "round((value - 10) / 50 * 50 + 10, 6) AS y")
+
+
 @query("min_max_scale", "WITH s AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY user_id) SELECT event_id, round((value - lo) / nullif(hi - lo, 0), 6) AS y FROM events JOIN s USING (user_id)")
 def _(spark, d):
     e = tables.table(spark, d, "events")
@@ -204,7 +265,8 @@ def _ewma_sql(alpha: float, adjust=True, ignore_na=False, least=0, initial=None,
     q, new = com / (1 + com), 1.0 if adjust else alpha
     c = f"r.{column}"
     if adjust == "linear":
-        decayed = f"CASE WHEN f.m IS NULL THEN 0 ELSE least(f.w, {com!r}) END"
+        within = f"least(f.w, {dbl(com)})"
+        decayed = f"CASE WHEN f.m IS NULL THEN 0 WHEN {c} IS NOT NULL OR {ignore_na} THEN {within} WHEN f.w <= 0 THEN 0 ELSE {within} * greatest(0, (f.w - 1) / f.w) END"
     else:
         factor = f"CASE WHEN {c} IS NULL THEN 1 ELSE {q!r} END" if ignore_na else repr(q)
         decayed = f"CASE WHEN f.m IS NULL THEN 0 ELSE f.w * {factor} END"
@@ -228,7 +290,10 @@ _ewma("ewma_noadjust_ignore_na", alpha=0.2, adjust=False, ignore_na=True)
 _ewma("ewma_min_periods", alpha=0.1, min_periods=5)
 _ewma("ewma_init", alpha=0.1, initial=2.0)
 _ewma("ewma_noadjust_init", alpha=0.1, adjust=False, initial=2.0)
-_ewma("ewma_linear", column="value", alpha=0.1, adjust="linear")
+_ewma("ewma_linear", alpha=0.1, adjust="linear")
+_ewma("ewma_linear_short", alpha=0.4, adjust="linear", min_periods=2, initial=30.0)
+_ewma("ewma_linear_ignore_na", alpha=0.3, adjust="linear", ignore_na=True)
+query("ewm_accessor", _ewma_sql(0.25, column="value"))(lambda spark, d: picked(ts.Ewm(S, alpha=0.25).mean(tables.events(spark, d), "value", "y"), "y"))
 
 
 def _ewmvar_sql(alpha: float, adjust: bool) -> str:
@@ -376,6 +441,32 @@ def _(spark, d):
     return picked(ev.compose(tables.events(spark, d), *steps), "y")
 
 
+_PATTERNS = {"half": lambda s: {"x": s["x"] / 2, "influence": s["x"] - 10}, "raised": lambda s: {"y": s["x"] + 1}}
+
+
+def _composed(strategy: str) -> dict[str, Column]:
+    got = ev.composed(_PATTERNS, {"x": v()}, strategy)
+    return {"half": r6(got["half"]["x"]), "raised": r6(got["raised"]["y"])}
+
+
+over_events("compose_chained", lambda: _composed("pipeline"), "round(value / 2, 6) AS half, round(value / 2 + 1, 6) AS raised")
+over_events("compose_parallel", lambda: _composed("parallel"), "round(value / 2, 6) AS half, round(value + 1, 6) AS raised")
+over_events("compose_hierarchical", lambda: _composed("hierarchical"), "round(value / 2, 6) AS half, round(value - 9, 6) AS raised")
+
+
+def _levels() -> dict[str, Column]:
+    def broken(s):
+        raise ValueError("no such input")
+
+    states = {"stock": lambda s: {"x": s["x"] + 10}, "sector": lambda s: {"x": s["x"] * 2, "z": s["x"]}, "market": lambda s: {"x": s["x"], "z": s["x"] / 2}, "broken": broken}
+    got = ev.hierarchical_machine(states, {"x": v()}, {"stock": ["sector"], "sector": ["market"], "broken": ["market"]})
+    return {"market": r6(got["market"]["x"]), "sector": r6(got["sector"]["x"]), "sector_z": r6(got["sector"]["z"]), "stock": r6(got["stock"]["x"]), "status": got["broken"]["status"], "error": got["broken"]["error"]}
+
+
+over_events("hierarchical_machine", _levels, "round(value, 6) AS market, round(1.9 * value, 6) AS sector, round(0.95 * value, 6) AS sector_z, round(0.9 * (0.9 * (value + 10) + 0.1 * value) + 0.1 * (1.9 * value), 6) AS stock, 'failed' AS status, 'no such input' AS error")
+over_events("tree_struct", lambda: {"t": F.to_json(scalar.tree_struct(scalar.tree_map(lambda a, b: (a + b).cast("long"), {"p": [F.col("event_id"), F.col("user_id")], "q": F.col("event_id")}, {"p": [F.lit(1), F.lit(2)], "q": F.lit(3)})))}, """'{"p":{"_0":' || (event_id + 1) || ',"_1":' || (user_id + 2) || '},"q":' || (event_id + 3) || '}' AS t""")
+
+
 def _folded(spark, d, inputs, machine, outputs, **how) -> DataFrame:
     step, start = machine
     return fd.fold(tables.events(spark, d), ["user_id"], ["ts", "event_id"], inputs, step, start, outputs, **how)
@@ -407,12 +498,15 @@ def _(spark, d):
     return mem.sketch(tables.events(spark, d), "user_id", F.round(cents * 1000) / 1000 + 1e-7)
 
 
-@query("buffer_quantiles", f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) AS i FROM e), q AS (SELECT a.event_id, quantile_cont(coalesce(b.value, 0), 0.5) AS m, quantile_cont(coalesce(b.value, 0), 0.9) AS n FROM r a CROSS JOIN range(0, 20) g(k) LEFT JOIN r b ON b.user_id = a.user_id AND b.i = a.i - g.k WHERE a.i % 10 = 0 GROUP BY a.event_id) SELECT event_id, round(last_value(m IGNORE NULLS) OVER ({U}), 6) AS q50, round(last_value(n IGNORE NULLS) OVER ({U}), 6) AS q90 FROM e LEFT JOIN q USING (event_id)")
+_Q = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
+
+
+@query("buffer_quantiles", f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) AS i FROM e), q AS (SELECT a.event_id, {', '.join(f'quantile_cont(coalesce(b.value, 0), {p}) AS {n}_' for n, p in _Q.items())} FROM r a CROSS JOIN range(0, 20) g(k) LEFT JOIN r b ON b.user_id = a.user_id AND b.i = a.i - g.k WHERE a.i % 10 = 0 GROUP BY a.event_id) SELECT event_id, {', '.join(f'round(last_value({n}_ IGNORE NULLS) OVER ({U}), 6) AS {n}' for n in _Q)} FROM e LEFT JOIN q USING (event_id)")
 def _(spark, d):
-    return picked(mem.quantiles(tables.events(spark, d), S, "value", 20), "q50", "q90")
+    return picked(mem.quantiles(tables.events(spark, d), S, "value", 20), "q10", "q25", "q50", "q75", "q90")
 
 
-@query("hierarchical_buffer")
+@query("hierarchical_buffer", f"WITH {E}, r AS (SELECT *, row_number() OVER ({W}) - 1 AS i FROM e), m AS (SELECT a.event_id, sum(b.value * pow(0.9, (a.i - b.i) / 5)) / sum(pow(0.9, (a.i - b.i) / 5)) AS me FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i AND b.i % 5 = 0 WHERE a.i % 5 = 0 GROUP BY a.event_id), l AS (SELECT event_id, quantile_cont(value, 0.5) OVER ({U}) AS q FROM r WHERE i % 50 = 0) SELECT event_id, round(value, 6) AS recent, round(last_value(me IGNORE NULLS) OVER ({U}), 6) AS medium_ewma, round(coalesce(q, 0), 6) AS long_median FROM r LEFT JOIN m USING (event_id) LEFT JOIN l USING (event_id)")
 def _(spark, d):
     return picked(mem.hierarchical(tables.events(spark, d), S, "value"), "recent", "medium_ewma", "long_median")
 
@@ -420,22 +514,46 @@ def _(spark, d):
 # ---- filters, learners, feedback ---------------------------------------------------------------------------------
 
 
-@query("arma", recursive({"y": ("0", "r.value / 100 + 0.3 * f.e + 0.2 * f.y1 + 0.5 * f.y"), "y1": ("0", "f.y"), "e": ("0", "r.value / 100")}, "round(f.y, 6) AS y"))
+@query("arma", recursive({"y": ("0", "r.value / 100 + 0.3 * f.e + 0.2 * f.y1 + 0.5 * f.y"), "y1": ("0", "f.y"), "e": ("0", "r.value / 100")}, "f.y AS y"))
 def _(spark, d):
     step, start = fd.arma([0.2, 0.5], [0.3])
     e = tables.events(spark, d).withColumn("eps", v() / 100)
-    return picked(fd.fold(e, ["user_id"], ["ts", "event_id"], ["eps"], step, start, "y double"), "y")
+    return fd.fold(e, ["user_id"], ["ts", "event_id"], ["eps"], step, start, "y double").select("event_id", "y")
 
 
 over_events("ma_filter", lambda: {"y": r6(v() + 0.3 * S.lag(v(), 2, 0.0) - 0.2 * S.lag(v(), 1, 0.0))}, f"round(value + 0.3 * lag(value, 2, 0) OVER ({W}) - 0.2 * lag(value, 1, 0) OVER ({W}), 6) AS y")
-over_events("snarimax_features", lambda: {f"y{k}": S.lag(v(), k) for k in (1, 2, 3)}, ", ".join(f"lag(value, {k}) OVER ({W}) AS y{k}" for k in (1, 2, 3)))
+_GUESS = "(0.5 * f.error + 0.3 * f.f2 + 0.2 * (r.value / 100))"
 
 
-@query("snarimax_forecast")
+@query("snarimax_features", recursive({"guess": ("0", _GUESS), "error": ("0", f"r.value / 100 - {_GUESS}"), "f0": ("0", "f.error"), "f1": ("0", "f.f2"), "f2": ("0", "r.value / 100")}, "f.guess AS guess, f.error AS error, f.f0 AS f0, f.f1 AS f1, f.f2 AS f2"))
+def _(spark, d):
+    machine = fd.snarimax_features(2, 1, lambda z: 0.5 * z[0] + 0.3 * z[1] + 0.2 * z[2])
+    e = tables.events(spark, d).withColumn("y", v() / 100)
+    return fd.fold(e, ["user_id"], ["ts", "event_id"], ["y"], *machine, "guess double, error double, f0 double, f1 double, f2 double").drop("user_id", "ts")
+
+
+def _newton_sql(inputs: list[str], target: str, rate: float, more: dict[str, tuple[str, str]] | None = None, eps: float = 1e-5) -> dict[str, tuple[str, str]]:
+    """State of an online regression by Newton steps, the same operations in the same order; p is the prediction."""
+    x, k = [*inputs, "1.0e0"], range(len(inputs) + 1)
+    name = lambda i, j: f"f.h{min(i, j)}{max(i, j)}"
+    guess = dot_sql([f"f.w{i}" for i in k], x)
+    g = [f"(-2.0e0 * ({target} - {guess}) * {v_})" for v_ in x]
+    hg = [dot_sql([name(i, j) for j in k], g) for i in k]
+    scale = f"(1.0e0 + {dot_sql(g, hg)})"
+    h = {(i, j): f"({name(i, j)} - {hg[i]} * {hg[j]} / {scale})" for i in k for j in k if i <= j}
+    state = {"p": ("0", guess)} | {key: (a, b.replace("{guess}", guess)) for key, (a, b) in (more or {}).items()}
+    state |= {f"h{i}{j}": (dbl(1 / eps) if i == j else "0", e) for (i, j), e in h.items()}
+    return state | {f"w{i}": ("0", f"f.w{i} + -{dbl(rate)} * {dot_sql([h[min(i, j), max(i, j)] for j in k], g)}") for i in k}
+
+
+_Y = "(r.value / 100)"
+
+
+@query("snarimax_forecast", recursive(_newton_sql(["f.e", "f.y1", "f.y"], _Y, 0.3, {"e": ("0", f"{_Y} - {{guess}}"), "y1": ("0", "f.y"), "y": ("0", _Y)}), "f.p AS guess, f.e AS error"))
 def _(spark, d):
     step, start = fd.snarimax(2, 1, 0, fd.newton(0.3))
     e = tables.events(spark, d).withColumn("y", v() / 100)
-    return picked(fd.fold(e, ["user_id"], ["ts", "event_id"], ["y"], step, start, "guess double, error double"), "guess", "error")
+    return fd.fold(e, ["user_id"], ["ts", "event_id"], ["y"], step, start, "guess double, error double").select("event_id", "guess", "error")
 
 
 _PAIR = {"a": f"coalesce(lag(value) OVER ({W}), 0) / 100", "b": "value / 100"}
@@ -445,41 +563,136 @@ def _pairs(spark, d) -> DataFrame:
     return tables.events(spark, d).withColumn("a", F.coalesce(S.lag(v()), F.lit(0.0)) / 100).withColumn("b", v() / 100)
 
 
+def _with_pair(sql: str) -> str:
+    return sql.replace("SELECT *, row_number()", f"SELECT *, {_PAIR['a']} AS a, row_number()", 1)
+
+
 def _linreg_sql(rate: float, projected: bool = False) -> str:
     low, high = ("greatest(least(", ", 0.4), -0.4)") if projected else ("", "")
-    g = "(r.value / 100 - (f.w * r.a + f.c))"
-    state = {"p": ("0", "f.w * r.a + f.c"), "w": ("0", f"{low}f.w + {2 * rate!r} * {g} * r.a{high}"), "c": ("0", f"{low}f.c + {2 * rate!r} * {g}{high}")}
-    return recursive(state, "round(f.p, 6) AS guess, round(f.w, 6) AS w0, round(f.c, 6) AS w1").replace("SELECT *, row_number()", f"SELECT *, {_PAIR['a']} AS a, row_number()", 1)
+    miss = "(r.value / 100 - (f.w * r.a + f.c))"
+    state = {"p": ("0", "f.w * r.a + f.c"), "w": ("0", f"{low}f.w + -{dbl(rate)} * (-2.0e0 * {miss} * r.a){high}"), "c": ("0", f"{low}f.c + -{dbl(rate)} * (-2.0e0 * {miss}){high}")}
+    return _with_pair(recursive(state, "f.p AS guess, f.w AS w0, f.c AS w1"))
+
+
+_FIT = "guess double, loss double, w0 double, w1 double"
+
+
+def _fitted(spark, d, optimiser, **how) -> DataFrame:
+    machine = fd.online_regression(1, optimiser, **how)
+    return fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], *machine, _FIT).select("event_id", "guess", "w0", "w1")
 
 
 @query("online_linreg_sgd", _linreg_sql(0.05))
 def _(spark, d):
-    step, start = fd.online_regression(1, fd.sgd(0.05))
-    out = "guess double, loss double, w0 double, w1 double"
-    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, out), "guess", "w0", "w1")
+    return _fitted(spark, d, fd.sgd(0.05))
 
 
 @query("online_optimizer_projected", _linreg_sql(0.05, True))
 def _(spark, d):
-    step, start = fd.online_regression(1, fd.sgd(0.05), project=lambda w: w.clip(-0.4, 0.4))
-    out = "guess double, loss double, w0 double, w1 double"
-    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, out), "guess", "w0", "w1")
+    return _fitted(spark, d, fd.sgd(0.05), project=lambda w: [max(min(u, 0.4), -0.4) for u in w])
 
 
-@query("online_linreg_newton")
+@query("online_linreg_newton", _with_pair(recursive(_newton_sql(["r.a"], "(r.value / 100)", 0.5), "f.p AS guess, f.w0 AS w0, f.w1 AS w1")))
 def _(spark, d):
-    step, start = fd.online_regression(1, fd.newton(0.5))
-    out = "guess double, loss double, w0 double, w1 double"
-    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, out), "guess", "w0", "w1")
+    return _fitted(spark, d, fd.newton(0.5))
 
 
-_SCALE = {"y": ("0", "f.s * r.a"), "s": ("1", "f.s - 0.1 * 2 * (f.s * r.a - r.value / 100) * r.a")}
+def _optimiser_sql(kind: str) -> str:
+    """One weight (the constant is frozen) under another optimiser."""
+    g = "(-2.0e0 * (r.value / 100 - (f.w0 * r.a + f.w1)) * r.a)"
+    if kind == "adam":
+        m, s_ = f"(0.9 * f.m + {dbl(1 - 0.9)} * {g})", f"(0.999 * f.s + {dbl(1 - 0.999)} * {g} * {g})"
+        state = {"m": ("0", m), "s": ("0", s_), "w0": ("0", f"f.w0 + -0.05 * ({m} / (1 - pow(0.9e0, r.i))) / (sqrt({s_} / (1 - pow(0.999e0, r.i))) + 1e-8)")}
+    else:
+        s_ = f"(f.s + {g} * {g})" if kind == "adagrad" else f"(0.9 * f.s + {dbl(1 - 0.9)} * {g} * {g})"
+        state = {"s": ("0.1" if kind == "adagrad" else "0", s_), "w0": ("0", f"f.w0 + -0.05 * {g} / sqrt({s_} + {'1e-7' if kind == 'adagrad' else '1e-8'})")}
+    return _with_pair(recursive({"p": ("0", "f.w0 * r.a + f.w1"), **state, "w1": ("0", "f.w1")}, "round(f.p, 6) AS guess, round(f.w0, 6) AS w0, f.w1 AS w1"))
 
 
-@query("streaming_optimizer_scale", recursive(_SCALE, "round(f.y, 6) AS y, round(f.s, 6) AS scale").replace("SELECT *, row_number()", f"SELECT *, {_PAIR['a']} AS a, row_number()", 1))
+for _name, _make in (("adagrad", fd.adagrad), ("rmsprop", fd.rmsprop), ("adam", fd.adam)):
+    query(f"online_linreg_{_name}", _optimiser_sql(_name))(lambda spark, d, make=_make: _fitted(spark, d, make(0.05), frozen=(1,)).select("event_id", r6("guess").alias("guess"), r6("w0").alias("w0"), "w1"))
+
+
+_MISS = "(f.w0 * r.a + f.w1 - r.value / 100)"
+
+
+@query("func_optimizer", _with_pair(recursive({"loss": ("0", f"{_MISS} * {_MISS}"), "guess": ("0", "f.w0 * r.a + f.w1"), "w0": ("0", f"f.w0 + -0.05 * (2.0e0 * {_MISS} * r.a)"), "w1": ("0.1", "f.w1")}, "f.loss AS loss, f.guess AS guess, f.w0 AS w0, f.w1 AS w1")))
+def _(spark, d):
+    def loss(params, a, b):
+        guess = params[0] * a + params[1]
+        return (guess - b) * (guess - b), guess
+
+    machine = fd.func_optimiser(loss, [0.0, 0.1], fd.sgd(0.05), trainable=lambda k: k == 0)
+    return fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], *machine, "loss double, guess double, w0 double, w1 double").drop("user_id", "ts")
+
+
+@query("func_optimizer_tanh", _with_pair(recursive({"w": ("0.5", "f.w - 0.1 * (2 * (tanh(f.w * r.a) - r.value / 100) * (1 - tanh(f.w * r.a) * tanh(f.w * r.a)) * r.a)")}, "round(f.w, 6) AS w")))
+def _(spark, d):
+    machine = fd.func_optimiser(lambda p, a, b: ((p[0] * a).tanh() - b) ** 2, [0.5], fd.sgd(0.1))
+    got = fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], *machine, "loss double, w double")
+    return picked(got, "w")
+
+
+def _mean_state(name: str, c: str, alpha: float, when: str = "TRUE") -> dict[str, tuple[str, str]]:
+    """An adjusted exponential mean of c, which is never missing, as state: the operations of the fold."""
+    com = 1 / alpha - 1
+    m, w = f"f.{name}", f"f.{name}_w"
+    old = f"(CASE WHEN {m} IS NULL THEN 0.0e0 ELSE {w} * {dbl(com / (1 + com))} END)"
+    mean = f"(CASE WHEN NOT ({when}) THEN {m} WHEN {m} IS NULL THEN {c} ELSE ({old} * {m} + {c}) / ({old} + 1.0e0) END)"
+    return {name: ("NULL", mean), f"{name}_w": ("1", f"CASE WHEN {when} THEN {old} + 1.0e0 ELSE {w} END")}
+
+
+def _predictor_sql(parts: list[tuple[str, float, float]]) -> tuple[dict, str]:
+    """(states of the parts' means, their mixed output)"""
+    means: dict = {}
+    for k, (c, alpha, _) in enumerate(parts):
+        means |= _mean_state(f"m{k}", c, alpha)
+    return means, "((" + " + ".join(f"{means[f'm{k}'][1]} * {dbl(factor)}" for k, (_, _, factor) in enumerate(parts)) + f") / {len(parts)})"
+
+
+_ENSEMBLE, _OUT = _predictor_sql([("r.a", 0.2, 1.05), ("(r.event_id % 97 + 0.0e0)", 0.15, 0.001)])
+
+
+@query("ensemble_predictor", _with_pair(recursive({**_ENSEMBLE, "y": ("0", f"f.s * {_OUT}"), "s": ("1", f"f.s + -0.01 * (2 * (f.s * {_OUT} - r.value / 100) * {_OUT})")}, "f.y AS y, f.s AS scale, f.m0 * 1.05e0 AS price, f.m1 * 0.001e0 AS volume")))
+def _(spark, d):
+    machine = fd.predictor([(0.2, 1.05), (0.15, 0.001)], 0.01)
+    e = _pairs(spark, d).withColumn("n", (F.col("event_id") % 97).cast("double"))
+    return fd.fold(e, ["user_id"], ["ts", "event_id"], ["a", "n", "b"], *machine, "y double, scale double, price double, volume double").drop("user_id", "ts")
+
+
+_ADAPTIVE, _ADAPTED = _predictor_sql([("(r.value / 100)", 0.1, 1.1)])
+_SLOPE = f"(2 * (f.s * {_ADAPTED} - r.value / 100) * {_ADAPTED})"
+_M1, _M2 = f"(0.9 * f.g1 + {dbl(1 - 0.9)} * {_SLOPE})", f"(0.999 * f.g2 + {dbl(1 - 0.999)} * {_SLOPE} * {_SLOPE})"
+
+
+@query("adaptive_predictor", recursive({**_ADAPTIVE, "y": ("0", f"f.s * {_ADAPTED}"), "g1": ("0", _M1), "g2": ("0", _M2), "s": ("1", f"f.s - 0.001 * ({_M1} / (1 - pow(0.9e0, r.i))) / (sqrt({_M2} / (1 - pow(0.999e0, r.i))) + 1e-8)")}, "round(f.y, 6) AS y, round(f.s, 6) AS scale"))
+def _(spark, d):
+    e = tables.events(spark, d).withColumn("b", v() / 100)
+    got = fd.fold(e, ["user_id"], ["ts", "event_id"], ["b", "b"], *fd.predictor([(0.1, 1.1)], 0.0, fd.adam(0.001)), "y double, scale double, part double")
+    return picked(got, "y", "scale")
+
+
+@query("nested_unroll", f"WITH {E}, b AS (SELECT event_id, {', '.join(f'lag(value, {3 - k}, 0.0) OVER ({W}) AS b{k}' for k in range(4))} FROM e) SELECT event_id, (0.875 * ((0.75 * ((0.5 * b0 + b1) / 1.5) + b2) / 1.75) + b3) / 1.875 AS y FROM b")
+def _(spark, d):
+    inner = fd.nested(fd.ewma_step(alpha=0.5), fd.ewma_start())
+    e = tables.events(spark, d).withColumn("buf", S.buffer(v(), 4, 0.0))
+    got = fd.fold(e, ["user_id"], ["ts", "event_id"], ["buf"], inner, lambda: None, "ys array<double>")
+    return got.select("event_id", F.get("ys", F.lit(3)).alias("y"))
+
+
+@query("piped_folds", recursive({**_mean_state("m", "r.value", 0.2), "z": ("0", f"{_mean_state('m', 'r.value', 0.2)['m'][1]} + 0.5 * f.z")}, "f.z AS y"))
+def _(spark, d):
+    machine = fd.piped((fd.ewma_step(alpha=0.2), fd.ewma_start()), fd.arma([0.5], []))
+    return _folded(spark, d, ["value"], machine, "y double").select("event_id", "y")
+
+
+_SCALE = {"y": ("0", "f.s * r.a"), "s": ("1", "f.s + -0.1 * (2 * (f.s * r.a - r.value / 100) * r.a)")}
+
+
+@query("streaming_optimizer_scale", _with_pair(recursive(_SCALE, "f.y AS y, f.s AS scale")))
 def _(spark, d):
     step, start = fd.scale_optimiser(0.1)
-    return picked(fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, "y double, scale double"), "y", "scale")
+    return fd.fold(_pairs(spark, d), ["user_id"], ["ts", "event_id"], ["a", "b"], step, start, "y double, scale double").select("event_id", "y", "scale")
 
 
 def _scanned(spark, d) -> DataFrame:
@@ -526,15 +739,38 @@ def _feedback(spark, d, skip_first: bool) -> DataFrame:
     return fd.fold(e, ["user_id"], ["ts", "event_id"], ["raw"], step, start, "reward double, obs double, action double", skip_first=skip_first)
 
 
-@query("gym_feedback", recursive(_FEED, "round(f.rw, 6) AS reward, round(f.o, 6) AS obs, round(f.a, 6) AS action", where="WHERE r.i > 1"))
+@query("gym_feedback", recursive(_FEED, "f.rw AS reward, f.o AS obs, f.a AS action", where="WHERE r.i > 1"))
+def _(spark, d):
+    return _feedback(spark, d, True).drop("user_id", "ts")
+
+
+@query("gym_until_done", f"WITH g AS ({recursive(_FEED, 'r.user_id, r.ts, f.rw AS reward, f.o AS obs, coalesce(f.o > 1.6, FALSE) AND r.i > 1 AS done')}) SELECT event_id, reward, obs, done FROM (SELECT *, coalesce(sum(CAST(done AS INT)) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM g) WHERE n = 0")
 def _(spark, d):
-    return picked(_feedback(spark, d, True), "reward", "obs", "action")
+    def env(action, raw):
+        obs = 0.5 * (raw + action)
+        return action * obs, obs, obs > 1.6
+
+    env.ends = True
+    e = tables.events(spark, d).withColumn("raw", v() / 100)
+    got = fd.fold(e, ["user_id"], ["ts", "event_id"], ["raw"], *fd.feedback(lambda obs: obs + 1, env), "reward double, obs double, action double, done boolean", done="done")
+    return got.select("event_id", "reward", "obs", "done")
+
+
+_NOISE = "((r.event_id % 13 - 6) / 100)"
+_TARGET = f"((CASE WHEN r.i <= 20 THEN 1.0e0 ELSE -1.0e0 END) * (0.7 * r.a + 0.1) + {_NOISE})"
+_GAP = f"({_TARGET} - (f.w * r.a + f.c))"
+_GAME = {
+    "p": ("0", "f.w * r.a + f.c"), "t": ("0", _TARGET), "rw": ("0", "f.late"), "late": ("0", f"-({_GAP} * {_GAP})"), "regret": ("0", f"f.regret + ({_GAP} * {_GAP} - {_NOISE} * {_NOISE})"),
+    "w": ("0", f"f.w + -0.05 * (-2.0e0 * {_GAP} * r.a)"), "c": ("0", f"f.c + -0.05 * (-2.0e0 * {_GAP})"),
+}
 
 
-@query("gym_linreg_regret", f"WITH g AS ({recursive(_FEED, 'r.user_id, r.ts, f.rw AS reward', where='WHERE r.i > 1')}) SELECT event_id, round(sum(1 - reward) OVER ({U}), 6) AS regret FROM g")
+@query("gym_linreg_regret", _with_pair(recursive(_GAME, "f.p AS guess, f.t AS target, f.rw AS reward, f.regret AS regret")))
 def _(spark, d):
-    got = _feedback(spark, d, True)
-    return picked(got.withColumn("regret", S.cumulative(1 - F.col("reward"))), "regret")
+    """A learner in a regression whose sign turns after 20 rows; rewards come a row late."""
+    machine = fd.regression_game(fd.RegressionEnv(0.7, 0.1, 20), fd.sgd(0.05))
+    e = _pairs(spark, d).withColumn("noise", (F.col("event_id") % 13 - 6) / 100)
+    return fd.fold(e, ["user_id"], ["ts", "event_id"], ["a", "noise"], *machine, "guess double, target double, reward double, regret double").drop("user_id", "ts")
 
 
 # ---- indicators ------------------------------------------------------------------------------------------------------
@@ -557,12 +793,43 @@ def _(spark, d):
     return picked(ix.macd(tables.events(spark, d), S, "value"), "macd", "signal", "histogram")
 
 
-@query("signal_processor")
+def _signal_sql() -> str:
+    state = {**_mean_state("fast", "r.value", 0.3), **_mean_state("slow", "r.value", 0.05), **_mean_state("v1", "r.value", 0.1), **_mean_state("v2", "(r.value * r.value)", 0.1)}
+    return recursive(state, "round(tanh((f.fast - f.slow) / (sqrt(greatest(f.v2 - f.v1 * f.v1, 0)) + 1e-6)), 6) AS signal")
+
+
+@query("signal_processor", _signal_sql())
 def _(spark, d):
     return picked(ix.signal_processor(tables.events(spark, d), S, "value"), "signal")
 
 
-@query("trading_system")
+_HIGH = f"sqrt(greatest(sum(o * o) OVER w / 50 - pow(sum(o) OVER w / 50, 2), 0))"
+_REGIME = recursive({**_mean_state("fast", "r.value", 0.3, "r.vol > 25"), **_mean_state("slow", "r.value", 0.05, "NOT r.vol > 25")}, "round(r.vol, 6) AS volatility, CASE WHEN r.vol > 25 THEN 'high_vol' ELSE 'low_vol' END AS regime, round(CASE WHEN r.vol > 25 THEN f.fast ELSE f.slow END, 6) AS signal")
+
+
+@query("regime_signal", _REGIME.replace("r AS (SELECT *, row_number()", f"o AS (SELECT *, value - first_value(value) OVER ({U}) AS o FROM e), r AS (SELECT *, {_HIGH} AS vol, row_number()", 1).replace("AS i FROM e)", f"AS i FROM o WINDOW w AS ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))", 1))
+def _(spark, d):
+    return ix.regime_signal(tables.events(spark, d), S, "value", 25.0).select("event_id", r6("volatility").alias("volatility"), "regime", r6("signal").alias("signal"))
+
+
+@query("cumulative_returns", f"WITH {E}, g AS (SELECT *, value - 5 AS p, coalesce(sum(CASE WHEN value < 5 THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM e), q AS (SELECT *, CASE WHEN p + 1e-8 > 0 THEN ln(p + 1e-8) END AS r FROM g) SELECT event_id, round(r, 6) AS return, round(sum(r) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative FROM q")
+def _(spark, d):
+    return picked(ix.cumulative_returns(tables.events(spark, d).withColumn("p", v() - 5), S, "p"), "return", "cumulative")
+
+
+def _trading_sql() -> str:
+    fast, slow = _mean_state("fast", "r.value", 2 / 13), _mean_state("slow", "r.value", 2 / 27)
+    state = {**fast, **slow, **_mean_state("mid", "r.value", 2 / 21), **_mean_state("sig", f"({fast['fast'][1]} - {slow['slow'][1]})", 2 / 10)}
+    sd = f"CASE WHEN count(value) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 1 THEN stddev_pop(value) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) ELSE 0 END AS sd"
+    rows = recursive(state, "r.user_id, r.ts, r.value, r.sd, f.mid AS mid, f.fast - f.slow AS macd, f.fast - f.slow - f.sig AS hist").replace("SELECT *, row_number()", f"SELECT *, {sd}, row_number()", 1)
+    return (
+        f"WITH t AS ({rows}), b AS (SELECT *, CASE WHEN 4 * sd > 1e-8 THEN (value - (mid - 2 * sd)) / (4 * sd) ELSE 0.5 END AS pos, coalesce(last_value(CASE WHEN value > 80 THEN hist END IGNORE NULLS) OVER ({U}), 0) AS breakout FROM t), "
+        "s AS (SELECT *, tanh(macd / 10) * (1 - pos) + 0.1 * sign(breakout) AS signal FROM b) "
+        "SELECT event_id, round(sign(signal) * least(abs(signal), 1.0) * 0.02, 6) AS size, round(breakout, 6) AS breakout, round(pos, 6) AS position FROM s"
+    )
+
+
+@query("trading_system", _trading_sql())
 def _(spark, d):
     e = ix.bollinger(tables.events(spark, d), S, "value")
     e = ix.macd(e.drop("middle", "upper", "lower"), S, "value")
