@@ -14,8 +14,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -91,6 +92,33 @@ def parts(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_numbers(df: DataFrame, id_col: str) -> bool:
+    return df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def numbered_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, number): the distinct ids that are not null, numbered from 0 in their order, dealt by ranges."""
+    ids = df.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    dealt = cut(ids.repartitionByRange(parts(df), "id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()), "ids")
+    dealt = dealt.withColumn("part", F.shiftright("at", 33))
+    heads = dealt.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = heads.select("part", (before - F.col("first")).alias("shift"))  # a row per partition
+    return cut(dealt.join(F.broadcast(offsets), "part").select("id", (F.col("at") + F.col("shift")).alias("number")), "numbers")
+
+
 def deal_into_cells(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
     """Split every key's rows into cells of bounded size in which all pairs of the key still meet.
 
@@ -100,10 +128,31 @@ def deal_into_cells(rows: DataFrame, key: list[str], member: str, most: int) ->
     one cell and no cell holds more than about 2 * most rows. The counts are
     pre-aggregated before their shuffle, and the join on a hot key can be split.
     """
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # a struct isn't what the counts are grouped by: the join's sides get exchanges of their own, and a hot key's can be split
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.struct(*key).alias("_of"), "_n")
     chunks = F.ceil(F.col("_n") / F.lit(most)).cast("int")
-    dealt = rows.join(counted, key).withColumn("_c", chunks).withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_c")).cast("int"))
+    dealt = rows.join(counted, F.struct(*key) == F.col("_of")).drop("_of").withColumn("_c", chunks).withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
     paired = dealt.withColumn("_other", other)
     cell = F.xxhash64(*key, F.least("_mine", "_other"), F.greatest("_mine", "_other"))
     return paired.withColumn("cell", cell).drop("_n", "_c", "_mine", "_other")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Rows that come sorted by their first column, in tables of about ``rows`` that never part a cell."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cells = table.column(0).to_numpy()
+        end = int(np.flatnonzero(cells != cells[-1])[-1]) + 1 if cells[0] != cells[-1] else 0
+        if end:
+            yield table.slice(0, end)
+        held = table.slice(end).to_batches()
+        n = table.num_rows - end
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -1,9 +1,11 @@
 """Connected components of an edge table, without collecting edges or labels.
 
-Every partition first contracts its own edges to a forest of stars (union-find over
-the rows of one partition), then large-star and small-star rounds run as joins and
-pre-aggregated groupings until the edge table stands still. Each round's edges are
-written to the shared folder. Rows with a null end are ignored.
+Every partition first contracts its own edges, some at a time, to forests of stars
+(union-find), then large-star and small-star rounds run as joins and pre-aggregated
+groupings until the edge table stands still. Edges point from the larger vertex to the
+smaller. A vertex of many edges meets only the one row of its own smallest neighbour, in
+joins whose hot keys Spark can split, and not at all once it is the centre of a star.
+Each round's edges are written to the shared folder. Rows with a null end are ignored.
 """
 
 from __future__ import annotations
@@ -12,11 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
+
+#: Edges that a task contracts together; its memory is bounded by them.
+TOGETHER = 200_000
 
 
 def _contract(batches):
-    """Stars (leaf, smallest id of its tree) over one partition's edges; holds one entry per vertex seen."""
+    """Stars (vertex, smallest id of its tree) over runs of a partition's edges."""
+    edges, held = [], 0
+    for batch in batches:
+        edges.append(batch)
+        held += batch.num_rows
+        if held >= TOGETHER:
+            yield from _forest(edges)
+            edges, held = [], 0
+    yield from _forest(edges)
+
+
+def _forest(batches):
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -42,22 +58,24 @@ def _contract(batches):
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    return edges.mapInArrow(_contract, "a long, b long")
+    return edges.mapInArrow(released(_contract), "a long, b long")
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """(u, v, m): each directed edge with the smallest vertex of u's closed neighbourhood."""
-    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return edges.join(least, "u")
+def _least(edges: DataFrame) -> DataFrame:
+    """(k, m, n): each vertex that has smaller neighbours, the least of them, their number."""
+    found = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    # a key that isn't the grouping's own: the join then has an exchange of its own on either side and can split hot keys
+    return found.select(F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m", "n")
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    large = _nearest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    met = _nearest(down)
-    small = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(met.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return small.where("a <> b").distinct()
+    """edges: distinct (a, b) with a > b."""
+    up = _least(edges).select("k", "m")
+    large = edges.join(up, F.col("b") == F.col("k"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    least = _least(large)
+    several = least.where("n > 1").select("k", "m")
+    others = large.join(several, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -71,7 +89,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Vertices without a link are not listed (their component is themselves). An empty
     edge table gives an empty result.
     """
-    now = cut(_stars(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))), "edges")
+    now = cut(_stars(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))).distinct(), "edges")
     mark = _mark(now)
     for _ in range(most_rounds):
         if not mark[0]:
@@ -83,5 +101,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    leaves = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component")).distinct()
+    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -2,12 +2,16 @@
 
 A document's fingerprint is the per-bit majority of the XXH64 hashes of its word
 shingles. Fingerprints are cut into a ring of m segments. If two of them differ in at
-most t bits, at least m - t segments are equal, and some segment starts a chain of
-consecutive segments whose running differences never exceed length * t / m. So the
-join key is the position and content of m - t equal segments, the pairs that meet are
-held against the chain budgets, and only viable ones get the full Hamming check.
-m grows with the number of distinct fingerprints (21, 27, 32 key bits ...), which keeps
-the expected number of chance meetings of a fingerprint constant.
+most t bits, some segment starts a chain of consecutive segments whose running
+differences never exceed length * t / m. With m = t + 1 the first segment of that chain
+is equal, the first two differ in one bit at most, the first three in two.
+
+The chain is in the join: rows are dealt by its start and the content of its first
+segments, once as they are and once for each set of bits that the budgets allow to
+differ, cleared; two fingerprints meet at the content that they have in common. Chains
+of two segments (26 key bits, some 37 rows a fingerprint) are keys up to 2 ** 26
+fingerprints, beyond that chains of three (39 bits). Pairs that meet are held against
+the budgets of the longer prefixes, one by one, before the full Hamming check.
 
 Equal fingerprints are one vertex. Hot keys are split into bounded cells; a cell
 answers with a spanning forest of the links that it found, never with all its pairs.
@@ -15,15 +19,13 @@ answers with a spanning forest of the links that it found, never with all its pa
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, deal_into_cells, parts, text_of
+from .common import cut, deal_into_cells, numbered_ids, parts, released, small, text_of, unused, whole_cells, whole_numbers
 from .components import components
 
 BITS = 64
@@ -38,8 +40,12 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> bytes:
     if len(words) <= width:
         return digest(b" ".join(words), seed)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
+    return majority(np.frombuffer(b"".join([digest(s, seed) for s in shingles]), np.uint8).reshape(-1, 8))
+
+
+def majority(raw: np.ndarray) -> bytes:
+    """The bits that more than half of the big-endian hashes have; zero for no hashes."""
     ones = np.zeros(BITS, np.int64)
-    raw = np.frombuffer(b"".join([digest(s, seed) for s in shingles]), np.uint8).reshape(-1, 8)
     for start in range(0, len(raw), 65_536):
         ones += np.unpackbits(raw[start : start + 65_536], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(raw)).tobytes()
@@ -49,12 +55,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp): one row per input row, fp the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             prints = b"".join(fingerprint(t, width, seed) for t in batch.column(1).to_pylist())
             values = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values, pa.int64())], ["id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(released(run), "id long, fp long")
 
 
 def ring(m: int) -> list[int]:
@@ -62,20 +68,13 @@ def ring(m: int) -> list[int]:
     return [round(k * BITS / m) for k in range(m + 1)]
 
 
-def segments_for(n: int, t: int) -> int:
-    """Smallest ring in which a key of m - t segments has at least as many values as there are fingerprints."""
-    m = t + 1
-    while m < t + 5 and (m < t + 2 or 2 ** (BITS * (m - t) // m) < n):
-        m += 1
-    return m
-
-
 def _mask(lo: int, hi: int) -> int:
     return ((1 << (hi - lo)) - 1) << lo
 
 
-def _chains(m: int, t: int) -> list[list[tuple[int, int]]]:
-    """For each start the (mask of the first l segments, budget) pairs, l = 1 .. m."""
+def chains(t: int) -> list[list[tuple[int, int]]]:
+    """For each of the t + 1 starts the (mask of the first l segments, budget) pairs, l = 1 .. t + 1."""
+    m = t + 1
     border = ring(m)
     out = []
     for start in range(m):
@@ -88,76 +87,97 @@ def _chains(m: int, t: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def viable(diff: np.ndarray, m: int, t: int) -> np.ndarray:
-    """Which XOR values have a start whose whole chain stays within its budgets, and at most t bits in all."""
-    found = np.zeros(len(diff), bool)
-    for steps in _chains(m, t):
-        rest = np.flatnonzero(~found)
-        for mask, budget in steps:
-            if not len(rest):
-                break
-            rest = rest[np.bitwise_count(diff[rest] & np.uint64(mask)) <= budget]
-        found[rest] = True
-    found[found] = np.bitwise_count(diff[found]) <= t
-    return found
+def key_length(n: int) -> int:
+    """Segments of a chain that are a key for n fingerprints."""
+    return 2 if n <= 1 << 26 else 3
+
 
+def chain_keys(start: int, t: int, length: int) -> list[tuple[int, int]]:
+    """(mask of the key's segments, bits to clear) for every set of bits that the budgets of ``length`` segments allow to differ."""
+    steps = chains(t)[start][:length]
+    sets = [0]
+    inner = 0
+    for mask, budget in steps:
+        bits = [1 << k for k in range(BITS) if (mask & ~inner) >> k & 1]
+        inner = mask
+        grown = sets
+        for _ in range(budget):
+            grown = sorted({s | bit for s in grown for bit in bits} | set(grown))
+            grown = [s for s in grown if s.bit_count() <= budget]
+        sets = grown
+    return [(steps[-1][0], s) for s in sets]
 
-def _forest(fps: np.ndarray, ids: np.ndarray, m: int, t: int):
+
+def follows(diff: np.ndarray, start: np.ndarray, t: int) -> tuple[np.ndarray, list[int]]:
+    """Which XOR values keep the budgets of the chain from their start, and how many were left after each length."""
+    steps = chains(t)
+    masks = np.array([[mask for mask, _ in chain] for chain in steps], np.uint64)
+    rest, left = np.arange(len(diff)), []
+    for length in range(t + 1):
+        rest = rest[np.bitwise_count(diff[rest] & masks[start[rest], length]) <= steps[0][length][1]]
+        left.append(len(rest))
+    return rest, left
+
+
+def _forest(fps: np.ndarray, ids: np.ndarray, start: int, t: int):
     """Edges of a spanning forest of the links among one cell's fingerprints."""
-    n = len(fps)
-    left = np.arange(n)
+    left = np.arange(len(fps))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = viable(fps[left] ^ fps[at], m, t)
+            near, _ = follows(fps[left] ^ fps[at], np.full(len(left), start), t)
             for k in left[near]:
                 yield ids[at], ids[k]
             queue.extend(left[near])
-            left = left[~near]
+            left = np.delete(left, near)
 
 
-def _cell_links(m: int, t: int):
+def _cell_links(t: int):
+    """Rows come sorted by cell."""
+
     def run(batches):
-        tables = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if not tables:
-            return
-        cell, fp, rep = (np.concatenate(x) for x in zip(*tables))
-        fp = fp.view(np.uint64)
-        order = np.argsort(cell, kind="stable")
-        cell, fp, rep = cell[order], fp[order], rep[order]
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sizes = np.diff(np.r_[starts, len(cell)])
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        small = np.repeat(sizes <= 16, sizes)
-        for step in range(1, 16):
-            here = np.flatnonzero(small[:-step] & (cell[step:] == cell[:-step])) if len(cell) > step else np.empty(0, int)
-            if not len(here):
-                break
-            here = here[viable(fp[here] ^ fp[here + step], m, t)]
-            out.append((rep[here], rep[here + step]))
-        for s, n in zip(starts[sizes > 16], sizes[sizes > 16]):
-            pairs = list(_forest(fp[s : s + n], rep[s : s + n], m, t))
-            if pairs:
-                out.append((np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])))
-        for a, b in out:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for table in whole_cells(batches):
+            cell, tab, fp, rep = (table.column(k).to_numpy() for k in range(4))
+            fp = fp.view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sizes = np.diff(np.r_[starts, len(cell)])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            few = np.repeat(sizes <= 16, sizes)
+            for step in range(1, 16):
+                here = np.flatnonzero(few[:-step] & (cell[step:] == cell[:-step])) if len(cell) > step else np.empty(0, int)
+                if not len(here):
+                    break
+                here = here[follows(fp[here] ^ fp[here + step], tab[here], t)[0]]
+                out.append((rep[here], rep[here + step]))
+            for s, n in zip(starts[sizes > 16], sizes[sizes > 16]):
+                pairs = list(_forest(fp[s : s + n], rep[s : s + n], int(tab[s]), t))
+                if pairs:
+                    out.append((np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])))
+            for a, b in out:
+                different = a != b
+                if different.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[different], pa.int64()), pa.array(b[different], pa.int64())], ["a", "b"])
 
     return run
 
 
-def links(reps: DataFrame, t: int = 4, cell_rows: int = 2048) -> DataFrame:
-    """(a, b): links that connect the representatives (rep, fp) whose fingerprints differ in at most t bits."""
-    m = segments_for(reps.count(), t)
-    border = ring(m)
-    tables = list(combinations(range(m), m - t))
-    keys = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(sum(_mask(border[s], border[s + 1]) for s in equal)))).alias("key")) for k, equal in enumerate(tables)])
-    )
-    rows = reps.select("rep", "fp", keys.alias("k")).select("rep", "fp", "k.tab", "k.key")
+def links(reps: DataFrame, t: int = 4, cell_rows: int = 2048, length: int | None = None) -> DataFrame:
+    """(a, b): links that connect the representatives (rep, fp) whose fingerprints differ in at most t bits.
+
+    A set of bits is cleared only where the fingerprint has them all: of two fingerprints
+    each clears what it has and the other lacks, and they meet at their common content.
+    """
+    length = length or key_length(reps.count())
+    keys = []
+    for start in range(t + 1):
+        for mask, clear in chain_keys(start, t, length):
+            has = F.col("fp").bitwiseAND(F.lit(_signed(clear))) == F.lit(_signed(clear)) if clear else F.lit(True)
+            keys.append(F.when(has, F.struct(F.lit(start).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(mask & ~clear))).alias("key"))))
+    rows = reps.select("rep", "fp", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("rep", "fp", "k.tab", "k.key")
     cells = deal_into_cells(rows, ["tab", "key"], "fp", cell_rows)
-    return cells.select("cell", "fp", "rep").repartition(parts(reps), "cell").mapInArrow(_cell_links(m, t), "a long, b long")
+    dealt = cells.select("cell", "tab", "fp", "rep").repartition(parts(reps), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(released(_cell_links(t)), "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -167,11 +187,14 @@ def _signed(x: int) -> int:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 4, width: int = 4) -> DataFrame:
     """(id, fp, component): one row per input row.
 
-    component is the smallest id reachable over links of at most t differing bits.
-    Rows with a null id are fingerprinted but join no group (component null); null and
-    empty texts have fingerprint zero and link like any other; rows that share an id
-    are one vertex; an empty table gives an empty result; other columns are ignored.
+    component is the smallest id reachable over links of at most t differing bits. Ids that
+    are not whole numbers are numbered in their order. Rows with a null id are
+    fingerprinted but join no group (component null); null and empty texts have fingerprint
+    zero and link like any other; rows that share an id are one vertex; an empty table
+    gives an empty result; other columns are ignored.
     """
+    if not whole_numbers(df, id_col):
+        return _renamed(df, id_col, lambda numbered: near_duplicates(numbered, "number", text_col, t, width))
     prints = cut(fingerprints(df, id_col, text_col, width), "fingerprints")
     reps = cut(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     # an id that occurs with several texts ties its fingerprints together
@@ -182,6 +205,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def _renamed(df: DataFrame, id_col: str, find) -> DataFrame:
+    """What ``find`` gives for numbers in place of the ids, with the ids in their place again."""
+    numbers = numbered_ids(df, id_col)
+    plain = df.withColumnRenamed(id_col, "id").drop("number") if id_col != "id" else df.drop("number")
+    found = find(plain.join(numbers, "id", "left"))
+    named = found.withColumnRenamed("id", "number").join(numbers, "number", "left").drop("number")
+    return named.withColumnRenamed("component", "number").join(numbers.withColumnRenamed("id", "component"), "number", "left").select("id", *[c for c in found.columns if c != "id"])
+
+
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles, sorted; a text of at most ``width`` words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -211,12 +243,12 @@ def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8
     every = max(1, df.count() // docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, width).view(np.int64))], ["h"])
 
     sample = df.where(F.pmod(F.xxhash64(F.lit(3), id_col, text_col), F.lit(every)) == 0).select(text_of(text_col).alias("text"))
-    counted = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 1")
+    counted = sample.mapInArrow(released(run), "h long").groupBy("h").count().where("count > 1")
     rows = counted.orderBy(F.desc("count"), "h").limit(most).toPandas()
     h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
     order = np.argsort(h)
@@ -224,12 +256,12 @@ def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8
 
 
 def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
-    """(id, sig, size, prefix): sig names the set of shingles, prefix holds its rarest members, rarest first."""
+    """(id, sig, size, fp, prefix): sig names the set of shingles, fp is its SimHash, prefix holds its rarest members, rarest first."""
     hashes, counts = _common(df, id_col, text_col, width)
 
     def run(batches):
-        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            sigs, sizes, prefixes = [], [], []
+        for batch in small(batches):
+            sigs, sizes, prints, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width)
                 at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
@@ -237,35 +269,32 @@ def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold:
                 first = np.lexsort((h, often))[: _prefix_size(len(h), threshold)]
                 sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
+                prints.append(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)))
                 prefixes.append((h[first] & np.uint64(2**40 - 1)).view(np.int64))  # short keys: a collision only adds a candidate
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "sig", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(prints), ">u8").astype(np.uint64).view(np.int64), pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "sig", "size", "fp", "prefix"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, sig binary, size int, prefix array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(released(run), "id long, sig binary, size int, fp long, prefix array<long>")
 
 
 def _cell_pairs(batches):
-    """All pairs of a cell's members that lie in different groups."""
-    tables = [[b.column(k).to_numpy() for k in range(3)] for b in batches if b.num_rows]
-    if not tables:
-        return
-    cell, rep, group = (np.concatenate(x) for x in zip(*tables))
-    order = np.lexsort((rep, cell))
-    cell, rep, group = cell[order], rep[order], group[order]
-    at, step = np.arange(len(cell)), 0
-    while len(at):
-        step += 1
-        at = at[at + step < len(cell)]
-        at = at[cell[at + step] == cell[at]]
-        here = at[group[at] != group[at + step]]
-        if len(here):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[here], pa.int64()), pa.array(rep[here + step], pa.int64())], ["a", "b"])
+    """All pairs of a cell's members that lie in different groups; rows come sorted by cell and member."""
+    for table in whole_cells(batches):
+        cell, rep, group = (table.column(k).to_numpy() for k in range(3))
+        at, step = np.arange(len(cell)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(cell)]
+            at = at[cell[at + step] == cell[at]]
+            here = at[group[at] != group[at + step]]
+            if len(here):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[here], pa.int64()), pa.array(rep[here + step], pa.int64())], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs whose shingle sets reach the threshold; an id with several texts links by any of them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 512):
             kept = []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -274,39 +303,44 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int32())) for k in range(2)], ["a", "b"])
 
     met = pairs.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    return cut(met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "alike")
+    return cut(met.select("a", "b", "sa", "sb").mapInArrow(released(run), "a long, b long").distinct(), "alike")
 
 
 def _held(df: DataFrame, asked: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, s): the shingle sets of the asked ids; only ids that occur more than once are made distinct."""
 
     def sets(batches):
-        for batch in batches:
-            for some in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, width).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["id", "s"])
+        for some in small(batches):
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, width).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["id", "s"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(asked, "id", "left_semi")
     repeated = cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
-    found = texts.join(repeated, "id", "left_anti").mapInArrow(sets, "id long, s binary")
-    return cut(found.unionByName(texts.join(repeated, "id", "left_semi").distinct().mapInArrow(sets, "id long, s binary")), "shingles")
+    found = texts.join(repeated, "id", "left_anti").mapInArrow(released(sets), "id long, s binary")
+    return cut(found.unionByName(texts.join(repeated, "id", "left_semi").distinct().mapInArrow(released(sets), "id long, s binary")), "shingles")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, cell_rows: int = 1024) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, cell_rows: int = 1024, t: int = 4) -> DataFrame:
     """(id, component) per row with an id: groups over links of Jaccard similarity ``threshold`` or more of the sets of word shingles.
 
     Exact: two sets that are so alike share MEET members of their prefixes (a set's rarest
     members, as many as the threshold allows to differ, and MEET), so the pairs that meet
     that often and whose sizes allow it are held against each other's whole sets. Equal
-    sets are one vertex. The first member of a key is compared with the key's others
-    before all pairs of different groups are: a large group costs no square of its size.
-    A key's members (8 bytes each) are a row.
+    sets are one vertex. SimHash finds most copies first: fingerprints that differ in at most
+    ``t`` bits (``links``), and the first member of a key and the key's others, are held
+    against each other's whole sets before all pairs of different groups are, so a large
+    group costs no square of its size. A frequent key's members are rows of their own, in
+    joins that Spark can split and in cells of bounded size.
+    Ids that are not whole numbers are numbered in their order.
     """
+    if not whole_numbers(df, id_col):
+        return _renamed(df, id_col, lambda numbered: similar_groups(numbered, "number", text_col, width, threshold, cell_rows, t))
     rows = cut(_prefixes(df, id_col, text_col, width, threshold).where("id is not null"), "prefixes")
-    reps = cut(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size")), "reps")
+    reps = cut(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp")), "reps")
     ids = rows.select("id", "sig").join(reps.select("sig", "rep"), "sig").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     once = rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
-    members = once.select("rep", F.explode("prefix").alias("key")).groupBy("key").agg(F.collect_list("rep").alias("reps"))
-    keys = cut(members.where(F.size("reps") > 1), "keys")
+    members = once.select("rep", F.explode("prefix").alias("key"))
+    counted = members.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct("key").alias("of"), "first")
+    keys = cut(members.join(counted, F.struct("key") == F.col("of")).select("key", "rep", "first"), "keys")
     sizes = reps.groupBy("rep").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
 
     def allowed(pairs: DataFrame) -> DataFrame:
@@ -316,17 +350,23 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fits = (F.col("ha") >= F.col("lb") * F.lit(threshold) - F.lit(1e-9)) & (F.col("hb") >= F.col("la") * F.lit(threshold) - F.lit(1e-9))
         return sized.where(fits & (F.col("n") >= need)).select("a", "b")
 
-    apart = keys.select("key", F.explode("reps").alias("rep"))
-    met = apart.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(sizes, "rep")
+    met = keys.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(sizes, "rep")
     asked = cut(met.where(F.col("n") >= F.least(F.lit(MEET), F.ceil(F.col("lo") * F.lit(threshold * threshold) - F.lit(1e-9)))).select(F.col("rep").alias("id")), "asked")
     held = _held(df, asked, rows, id_col, text_col, width)
-    stars = cut(allowed(keys.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")), "stars")
+    by_print = reps.where("size > 0").groupBy("fp").agg(F.min("rep").alias("first"))
+    equal = reps.join(by_print, "fp").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    hashed = links(by_print.select("fp", F.col("first").alias("rep")), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = equal.unionByName(hashed).where("a <> b").distinct()
+    starred = keys.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    # a pair that no prefix brings together often enough isn't alike, whatever its fingerprints
+    known = near.join(asked.select(F.col("id").alias("a")), "a", "left_semi").join(asked.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    stars = cut(allowed(starred).unionByName(known).distinct(), "stars")
     first = _verified(stars, held, threshold)
     groups = cut(components(first), "groups")
-    grouped = apart.join(groups, apart.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("key")
-    cells = deal_into_cells(grouped.join(mixed, "key", "left_semi"), ["key"], "rep", cell_rows).select("cell", "rep", "group")
-    others = cells.repartition(parts(rows), "cell").mapInArrow(_cell_pairs, "a long, b long")
+    grouped = keys.join(groups, keys.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.struct("key").alias("of"))
+    cells = deal_into_cells(grouped.join(mixed, F.struct("key") == F.col("of"), "left_semi"), ["key"], "rep", cell_rows).select("cell", "rep", "group")
+    others = cells.repartition(parts(rows), "cell").sortWithinPartitions("cell", "rep").mapInArrow(released(_cell_pairs), "a long, b long")
     second = _verified(cut(allowed(others).join(stars, ["a", "b"], "left_anti"), "pairs"), held, threshold)
     found = components(first.unionByName(second).unionByName(ids))
     classes = reps.join(found, reps.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
@@ -336,13 +376,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``df`` that stay when each group of near copies (``similar_groups``) keeps its smallest id.
 
-    Rows with a null id stay. Of rows that share the kept id one stays. All columns of
-    ``df`` are returned.
+    Rows with a null id stay. Of rows that share the kept id the one stays whose text has
+    the smallest hash. All columns of ``df`` are returned.
     """
+    kept, place = unused(df, "_kept", "_place")
     groups = cut(similar_groups(df, id_col, text_col, width, threshold), "near-copies")
-    kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
-    plain = df.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    repeated = groups.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias("_kept"))
-    twice = plain.join(repeated, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    once = plain.join(repeated, F.col(id_col) == F.col("_kept"), "left_anti")
-    return once.unionByName(twice).unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)
+    firsts = groups.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    plain = df.join(firsts.where("n = 1").select(F.col("id").alias(kept)), F.col(id_col) == F.col(kept), "left_semi")
+    twice = df.join(firsts.where("n > 1").select(F.col("id").alias(kept)), F.col(id_col) == F.col(kept), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)))
+    once = twice.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return plain.unionByName(once).unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)
