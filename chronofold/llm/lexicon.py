@@ -1,13 +1,15 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: lower case, letters that look alike in other scripts and
-full-width forms become Latin letters, and digits or signs that stand for letters
+Texts are folded first, each character by itself: lower case, accents and invisible
+joiners go, letters that look alike in other scripts and full-width forms become Latin
+letters, and digits or signs that stand for letters
 inside a word become those letters. An entry matches at the start of a word; a whole-word
 entry also needs the word's end, a stem does not. Matches inside an exception phrase do
 not count. The matches' weights, and their rate per word, give a probability.
 
 The weights are learned from labelled rows: at most ``SAMPLE`` of them, chosen by the
-hash of their id, each distinct text once. Seeds are entries that hold without labels.
+hash of their id, each distinct text once (texts with both labels are left out). Stems
+have four to eight letters; words of two and three letters are entries as whole words.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import ahocorasick
@@ -23,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released, text_of, unused
 
 #: Labelled rows that the lexicon and its calibration are learned from, at most.
 SAMPLE = 12_000
-#: Rows of the learned lexicon, at most: it is broadcast.
-ENTRIES = 5_000
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = "аaеeоoрpсcуyхxіiјjѕsԁdһhӏlкkмmтtвbнhɑaοoαaεeιiκkνvρpτtυuχxıi"
@@ -39,17 +40,14 @@ EXCEPTIONS = ("class clown", "clown fish", "clownfish", "pond scum", "trash can"
 
 _FOLD = {ord(HOMOGLYPHS[k]): HOMOGLYPHS[k + 1] for k in range(0, len(HOMOGLYPHS), 2)} | {0xFF01 + k: chr(0x21 + k) for k in range(94)}
 _SUBST = {ord(SUBSTITUTES[k]): SUBSTITUTES[k + 1] for k in range(0, len(SUBSTITUTES), 2)}
-_LATIN = re.compile(r"[\u0000-ɏ]*\Z")
-_ONES = re.compile(r"[^\W\d_]1|1[^\W\d_]")
+_GONE = re.compile("[\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
     """Lower case, look-alikes to Latin; combining marks and invisible joiners go."""
     text = text.lower()
-    if not text.isascii() and not _LATIN.match(text):
-        text = re.sub("[̀-ͯ​-‍⁠﻿­]", "", text).translate(_FOLD)
-    return text
+    return text if text.isascii() else _GONE.sub("", unicodedata.normalize("NFD", text)).translate(_FOLD)
 
 
 class Lexicon:
@@ -89,7 +87,7 @@ class Lexicon:
         best = dict[int, float]()
         for start, weight in self._weights(plain, plain.translate(_SUBST)):
             best[start] = max(weight, best.get(start, 0.0))
-        if _ONES.search(plain):
+        if "1" in plain:  # it stands for i or for l
             for start, weight in self._weights(plain, plain.replace("1", "l").translate(_SUBST)):
                 best[start] = max(weight, best.get(start, 0.0))
         return sum(best.values()), len(best), words
@@ -109,7 +107,7 @@ class Lexicon:
 
 
 def _words(text: str | None) -> frozenset[str]:
-    return frozenset(w for w in _WORD.findall(fold(text or "").translate(_SUBST)) if len(w) >= 4)
+    return frozenset(w for w in _WORD.findall(fold(text or "").translate(_SUBST)) if len(w) >= 2)
 
 
 def frequent(texts: list[frozenset[str]], least: int, longest: int = 8) -> dict[str, int]:
@@ -123,7 +121,7 @@ def frequent(texts: list[frozenset[str]], least: int, longest: int = 8) -> dict[
         seen: Counter = Counter()
         for words in texts:
             if size is None:
-                seen.update({w + " " for w in words if w[: min(longest, len(w))] in kept})
+                seen.update({w + " " for w in words if len(w) < 4 or w[: min(longest, len(w))] in kept})
             else:
                 seen.update({w[:size] for w in words if len(w) >= size and (size == 4 or w[: size - 1] in kept)})
         kept.update((c, n) for c, n in seen.items() if n >= least)
@@ -139,7 +137,8 @@ def _stems(words: frozenset[str], longest: int = 8) -> set[str]:
 
 def learn(rows: list[tuple[str | None, int]], least: int = 6, precision: float = 0.75) -> Lexicon:
     """A lexicon from labelled texts. Without both labels it is empty and scores everything below one half."""
-    rows = list(dict(rows).items())  # each distinct text once
+    both = {t for t, y in rows if y == 1} & {t for t, y in rows if y == 0}
+    rows = [r for r in dict(rows).items() if r[0] not in both]  # each distinct text once
     toxic = [t for t, y in rows if y == 1]
     clean = [t for t, y in rows if y == 0]
     if not toxic or not clean:
@@ -159,9 +158,9 @@ def learn(rows: list[tuple[str | None, int]], least: int = 6, precision: float =
     # a stem all of whose uses are one whole word becomes that word
     entries = []
     for c, w in chosen.items():
-        whole = [x for x in kept if x.endswith(" ") and x.startswith(c.rstrip()) and kept[x] >= 0.95 * kept[c]]
+        whole = [c] if c.endswith(" ") else [x for x in kept if x.endswith(" ") and x.startswith(c) and kept[x] >= 0.95 * kept[c]]
         entries.append((whole[0].rstrip(), w, True) if whole else (c.rstrip(), w, c.endswith(" ")))
-    heaviest = sorted(set(entries), key=lambda e: (-e[1], e[0]))[:ENTRIES]
+    heaviest = sorted(set(entries), key=lambda e: (-e[1], e[0]))
     lexicon = Lexicon(heaviest)
     x = np.array([(1.0, *lexicon.features(t)) for t, _ in rows])
     y = np.array([float(v) for _, v in rows])
@@ -200,7 +199,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, label: str, keep: Column, lim
     """Learn a lexicon in one task over a bounded sample; the driver gets its entries alone."""
     sample = labelled_sample(docs, labels, label, keep, limit)
     # an exchange, not coalesce: the texts are read by all executors, only the sample meets in one task
-    got = sample.repartition(1).mapInArrow(_dedup, "pattern string, weight double, whole boolean").collect()
+    got = sample.repartition(1).mapInArrow(released(_dedup), "pattern string, weight double, whole boolean").collect()
     calibration = [r.weight for r in sorted((r for r in got if r.whole is None), key=lambda r: r.pattern)]
     return Lexicon([(r.pattern, r.weight, r.whole) for r in got if r.whole is not None], tuple(calibration) if calibration else (-3.0, 0.0, 0.0))
 
@@ -222,8 +221,9 @@ def score_texts(df: DataFrame, lexicon: Lexicon, text_col: str = "text", excepti
     @F.arrow_udf(kind)
     def scored(texts: pa.Array) -> pa.Array:
         built = _built(*recipe)
-        matches = [built.match(t) for t in texts.to_pylist()]
+        matches = [built.match(t) for k in range(0, len(texts), 256) for t in texts.slice(k, 256).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([built.score_of(m) for m in matches], pa.float64()), pa.array([m[0] for m in matches], pa.float64()), pa.array([m[1] for m in matches], pa.int64())], ["score", "weight", "hits"])
 
-    got = scored(text_of(text_col))
-    return df.withColumn("_m", got).withColumns({"toxic_score": F.col("_m.score"), "toxic_weight": F.col("_m.weight"), "toxic_hits": F.col("_m.hits")}).drop("_m")
+    (m,) = unused(df, "_m")
+    got = df.withColumn(m, scored(text_of(text_col)))
+    return got.withColumns({"toxic_score": F.col(f"{m}.score"), "toxic_weight": F.col(f"{m}.weight"), "toxic_hits": F.col(f"{m}.hits")}).drop(m)
