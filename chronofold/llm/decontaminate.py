@@ -1,6 +1,8 @@
 """Benchmark decontamination: every passage queries a BM25 index of the test items.
 
-The items are indexed in shards of bounded size, each broadcast by itself. A text is read
+The items are indexed in shards of bounded size, each broadcast by itself; the number of
+items, their mean length and the words' document frequencies are those of all items, so
+shards change no score. A text is read
 as overlapping passages, long enough that any item lies whole in one. A passage's distinct
 words are the query; an item is retrieved if its BM25 score reaches a share of the score
 that the item gives itself. Retrieval is document-at-a-time WAND: posting lists are walked
@@ -15,13 +17,15 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, released, small, text_of, unused
 
 K1, B = 1.2, 0.75
 SHARE = 0.6  # of an item's own score
@@ -67,10 +71,19 @@ class Part:
         return len(self.grams & {b" ".join(passage[k : k + n]) for k in range(len(passage) - n + 1)}) / len(self.grams)
 
 
+class Statistics(NamedTuple):
+    """Of all items that have words: their number, their words, the longest one's words, and each word's number of items."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[bytes, int]
+
+
 class Index:
     """Inverted index of items in item order, with impacts and their maxima over blocks of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
+    def __init__(self, items: list[tuple[int, str]], share: float = SHARE, whole: Statistics | None = None):
         self.ids, self.parts, counted = [], [], []
         for item_id, text in items:
             words = words_of(text)
@@ -82,19 +95,19 @@ class Index:
                     tf[w] = tf.get(w, 0) + 1
                 counted.append((len(words), tf))
         n = len(counted)
-        self.longest = max((size for size, _ in counted), default=0)
-        mean = sum(size for size, _ in counted) / max(1, n)
         df: dict[bytes, int] = {}
         for _, tf in counted:
             for w in tf:
                 df[w] = df.get(w, 0) + 1
+        whole = whole or Statistics(n, sum(size for size, _ in counted), max((size for size, _ in counted), default=0), df)
+        self.longest, mean = whole.longest, whole.words / max(1, whole.items)
         self.term = {w: k for k, w in enumerate(sorted(df))}
         self.items: list[list[int]] = [[] for _ in df]
         self.impact: list[list[float]] = [[] for _ in df]
         own = [0.0] * n
         for k, (size, tf) in enumerate(counted):
             for w, f in tf.items():
-                idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+                idf = math.log(1 + (whole.items - whole.frequency[w] + 0.5) / (whole.frequency[w] + 0.5))
                 x = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
                 self.items[self.term[w]].append(k)
                 self.impact[self.term[w]].append(x)
@@ -217,31 +230,55 @@ class Index:
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
 
-def shards_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = SHARD_CHARS):
-    """The items' rows, shard by shard: as many shards, by the hash of the id, as the size needs."""
+def _counted(batches):
+    for batch in small(batches):
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(text)
+            own = sorted(set(words))
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int32()), pa.array(own, pa.binary()), pa.array([len(words)] + [0] * (len(own) - 1) if own else [], pa.int64())], ["shard", "word", "size"])
+
+
+def shards_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = SHARD_CHARS) -> Iterator[tuple[list, Statistics | None]]:
+    """The items' rows, shard by shard, with the statistics of all items for the shard's words.
+
+    There are as many shards, by the hash of the id, as the size needs; the driver holds
+    one at a time. A single shard is all there is and counts for itself.
+    """
     rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).distinct()
     size = rows.agg(F.sum(F.length("text") + 16).alias("n")).first()["n"] or 0
     count = max(1, -(-int(size * 1.25) // most))
+    if count == 1:
+        yield rows.orderBy("id", "text").collect(), None
+        return
+    dealt = cut(rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(count)).cast("int")), "items")
+    words = cut(dealt.select("shard", "text").mapInArrow(released(_counted), "shard int, word binary, size long"), "words")
+    total = words.agg(F.count_if(F.col("size") > 0).alias("items"), F.sum("size").alias("words"), F.max("size").alias("longest")).first()
+    frequency = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "frequencies")
     for k in range(count):
-        yield rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).orderBy("id", "text").collect()
+        own = frequency.join(words.where(F.col("shard") == k).select("word").distinct(), "word", "left_semi").collect()
+        whole = Statistics(total["items"], total["words"] or 0, total["longest"] or 0, {bytes(r.word): r.n for r in own})
+        yield dealt.where(F.col("shard") == k).select("id", "text").orderBy("id", "text").collect(), whole
 
 
 FOUND = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,first_word:long,n_words:long>>"
 
 
-def matches(df: DataFrame, items: DataFrame, text_col: str = "text", share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
-    """All rows and columns of ``df`` with _found, the verified items of the row's text (empty: clean).
+def matches(df: DataFrame, items: DataFrame, text_col: str = "text", share: float = SHARE, overlap: float = OVERLAP, found_col: str = "_found", shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """All rows and columns of ``df`` with ``found_col``, the verified items of the row's text (empty: clean).
 
     Null and empty texts are clean, null and empty items match nothing; items that share
-    an id are items of their own; repeated rows stay; an empty table gives an empty result.
-    Each shard of the items adds one pass of matching over the texts, in the same scan.
+    an id are items of their own; repeated rows stay; an empty table gives an empty result;
+    a column of ``df`` named ``found_col`` is an error. Each shard of the items adds one
+    pass of matching over the texts, in the same scan.
     """
+    if found_col in df.columns:
+        raise ValueError(f"{found_col} is a column of the table: name another found_col")
     out, found = df, []
-    for k, rows in enumerate(shards_of(items)):
-        shared = df.sparkSession.sparkContext.broadcast(Index([(r.id, r.text) for r in rows], share))
-        found.append(f"_found{k}")
+    for rows, whole in shards_of(items, most=shard_chars):
+        shared = df.sparkSession.sparkContext.broadcast(Index([(r.id, r.text) for r in rows], share, whole))
+        found += unused(out, "_found0")
         out = out.withColumn(found[-1], _scanner(shared, overlap)(text_of(text_col)))
-    return out.withColumn("_found", F.concat(*found)).drop(*found)
+    return out.withColumn(found_col, F.concat(*found)).drop(*found)
 
 
 _FIELDS = (("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64()))
@@ -253,7 +290,8 @@ def _scanner(shared, overlap: float):
     @F.arrow_udf(FOUND)
     def scanned(texts: pa.Array) -> pa.Array:
         index = shared.value
-        return pa.array([[dict(zip(names, m)) for m in index.scan(t, overlap)] for t in texts.to_pylist()], pa.list_(pa.struct(_FIELDS)))
+        rows = [[dict(zip(names, m)) for m in index.scan(t, overlap)] for k in range(0, len(texts), 256) for t in texts.slice(k, 256).to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct(_FIELDS)))
 
     return scanned
 
@@ -266,4 +304,5 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def clean(df: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that hold no verified item, with their columns."""
-    return matches(df, items, text_col).where(F.size("_found") == 0).select(*df.columns)
+    (found,) = unused(df, "_found")
+    return matches(df, items, text_col, found_col=found).where(F.size(found) == 0).select(*df.columns)
