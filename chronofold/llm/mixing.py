@@ -16,13 +16,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import cut, parts, unused
 
 BLOCK = 32
 PERIOD = 256
 POWER = 0.7
 
 
+def _print_of(df: DataFrame, column: str) -> list[Column]:
+    """What a column adds to its row's fingerprint; maps, which have no order, by their sorted JSON entries."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType.simpleString()
+    if kind.startswith("map<"):
+        c = F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e.alias("e")))))
+    elif "map<" in kind or "variant" in kind:
+        c = F.to_json(F.struct(c.alias("e")))
+    return [c, F.col(f"`{column}`").isNull()]
+
+
 def numbered(df: DataFrame, key: str, order: list[Column], name: str = "numbered") -> DataFrame:
     """``df`` with _index, the row's place (from 0) within its key, without bringing a key to one task.
 
@@ -40,11 +50,26 @@ def numbered(df: DataFrame, key: str, order: list[Column], name: str = "numbered
 
 
 def power_weights(sizes: DataFrame, period: int = PERIOD, power: float = POWER) -> DataFrame:
-    """(_source, weight): whole weights in proportion to size ** power, about ``period`` in all, at least 1."""
-    total = sizes.agg(F.sum(F.pow("_blocks", F.lit(power))).alias("_total"))
-    share = F.col("_raised") / F.col("_total")
-    raised = sizes.withColumn("_raised", F.pow("_blocks", F.lit(power))).withColumn("_one", F.lit(1))
-    return raised.join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").select("_source", F.greatest(F.lit(1), F.round(share * period)).cast("long").alias("weight"))
+    """(_source, weight): whole weights in proportion to size ** power.
+
+    They add up to about ``period``, or to as much more as it takes for the smallest share
+    to be one slot of the round.
+    """
+    raised = F.pow("_blocks", F.lit(power))
+    got = sizes.agg(F.sum(raised).alias("total"), F.min(raised).alias("least")).first()
+    if not got["total"]:
+        return sizes.select("_source", F.lit(1).cast("long").alias("weight"))
+    slots = max(float(period), got["total"] / got["least"])
+    return sizes.select("_source", F.greatest(F.lit(1), F.round(raised * F.lit(slots / got["total"]))).cast("long").alias("weight"))
+
+
+def _asked(weights: DataFrame, named: Column) -> DataFrame:
+    """(_source, weight) from the caller's table; weights that are no whole numbers of at least one are an error."""
+    asked = weights.select(named.alias("_source"), F.col("weight").cast("double").alias("weight")).where("weight is not null")
+    odd = asked.where("weight < 1 or weight <> floor(weight)").limit(1).collect()
+    if odd:
+        raise ValueError(f"weights are whole numbers of at least 1, such as 7 and 3 for 0.7 and 0.3; got {odd[0]['weight']}")
+    return asked.groupBy("_source").agg(F.max("weight").cast("long").alias("weight"))
 
 
 def _earliest(rates: str, slots: str) -> Column:
@@ -103,38 +128,39 @@ def mix(df: DataFrame, weights: DataFrame | None = None, source_col: str = "sour
     """All rows and columns of ``df`` with block, slot, weight and position added.
 
     position grows with the slot and, inside a block, with the order column; sorting by it
-    gives the mixed corpus. weights: (source_col, weight), whole numbers; by default in
-    proportion to size ** 0.7. A null source is a source of its own; rows that tie in the
-    order (repeated rows, null ids first) follow the order of all their columns; columns
-    with the added names are replaced; an empty table gives an empty result.
+    gives the mixed corpus. weights: (source_col, weight), whole numbers of at least 1; by
+    default in proportion to size ** 0.7. A null source is a source of its own; rows that
+    tie in the order (repeated rows, null ids first) follow the order of all their columns;
+    columns with the added names are replaced; an empty table gives an empty result.
     """
     added = ("block", "slot", "weight", "position")
-    placed = _placed(df.drop(*added), weights, source_col, order_col, block)
-    return placed.select("*", *[F.col(f"_place.{c}") for c in added]).drop("_place")
+    plain = df.drop(*added)
+    (place,) = unused(plain, "_place")
+    placed = _placed(plain, weights, place, source_col, order_col, block)
+    return placed.select(*plain.columns, *[F.col(f"{place}.{c}") for c in added])
 
 
-def _placed(plain: DataFrame, weights: DataFrame | None, source_col: str = "source", order_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """``plain`` with the struct _place."""
+def _placed(plain: DataFrame, weights: DataFrame | None, place: str, source_col: str = "source", order_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """``plain`` with the struct ``place``."""
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    every = [c for name in plain.columns for c in (F.col(name), F.col(name).isNull())]
-    print_ = [F.xxhash64(F.lit(seed), *every).alias(f"_h{seed}") for seed in (1, 2)]
+    every = [c for name in plain.columns for c in _print_of(plain, name)]
+    one, two = unused(plain, "_h1", "_h2")
+    print_ = [F.xxhash64(F.lit(seed), *every) for seed in (1, 2)]
     # only the order's columns and the row's fingerprint are sorted and written, not the row
-    thin = plain.select(named.alias("_source"), F.col(order_col).alias("_order"), *print_)
+    thin = plain.select(named.alias("_source"), F.col(order_col).alias("_order"), print_[0].alias("_h1"), print_[1].alias("_h2"))
     rows = numbered(thin, "_source", [F.col("_order").asc_nulls_first(), F.col("_h1"), F.col("_h2")])
     rows = rows.withColumn("_block", F.floor(F.col("_index") / block).cast("long"))
     sizes = cut(rows.groupBy("_source").agg((F.max("_block") + 1).alias("_blocks")), "sizes")
-    if weights is None:
-        asked = power_weights(sizes)
-    else:
-        asked = weights.select(named.alias("_source"), "weight").groupBy("_source").agg(F.max("weight").alias("weight"))
-    place = F.struct((F.col("slot") * block + F.col("_index") % block).alias("position"), F.col("_block").alias("block"), "slot", "weight")
-    placed = rows.join(schedule(sizes, asked), ["_source", "_block"]).select("_h1", "_h2", place.alias("_place"))
+    asked = power_weights(sizes) if weights is None else _asked(weights, named)
+    spot = F.struct((F.col("slot") * block + F.col("_index") % block).alias("position"), F.col("_block").alias("block"), "slot", "weight")
+    placed = rows.join(schedule(sizes, asked), ["_source", "_block"]).select(F.col("_h1").alias(one), F.col("_h2").alias(two), spot.alias(place))
     # rows that are alike in all columns are one row here, and it takes each of their places
-    once = plain.select("*", *print_).dropDuplicates(["_h1", "_h2"])
-    return placed.join(once, ["_h1", "_h2"]).select(*plain.columns, "_place")
+    once = plain.withColumns({one: print_[0], two: print_[1]}).dropDuplicates([one, two])
+    return placed.join(once, [one, two]).select(*plain.columns, place)
 
 
 def mixed_documents(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The rows and columns of ``df``, dealt by ranges of their position and sorted by it."""
-    placed = _placed(df, weights)
-    return placed.repartitionByRange(parts(df), "_place.position").sortWithinPartitions("_place.position").drop("_place")
+    (place,) = unused(df, "_place")
+    placed = _placed(df, weights, place)
+    return placed.repartitionByRange(parts(df), f"{place}.position").sortWithinPartitions(f"{place}.position").drop(place)
