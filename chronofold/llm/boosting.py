@@ -17,33 +17,37 @@ class BoostedTrees:
         mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.bias = float(np.log(mean / (1 - mean)))
         cuts = [np.unique(np.quantile(c, np.linspace(0.02, 0.98, 25))) for c in x.T]
+        # a value's bin is the first cut that it doesn't exceed; features have their bins side by side
+        self.first = np.concatenate([[0], np.cumsum([len(c) + 1 for c in cuts])])
+        bins = np.column_stack([np.searchsorted(c, v, "left") + at for c, v, at in zip(cuts, x.T, self.first)])
         margin = np.full(len(y), self.bias)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(x, p - y, p * (1 - p), cuts, np.arange(len(y)), self.depth)
+            tree = self._grow(bins, p - y, p * (1 - p), cuts, np.arange(len(y)), self.depth)
             self.trees.append(tree)
             margin += self.rate * self._walk(tree, x)
         return self
 
-    def _grow(self, x, g, h, cuts, rows, depth):
+    def _grow(self, bins, g, h, cuts, rows, depth):
         total_g, total_h = g[rows].sum(), h[rows].sum()
         leaf = float(-total_g / (total_h + self.l2))
         if depth == 0 or len(rows) < 2 * self.least:
             return leaf
+        own, size = bins[rows].ravel(), int(self.first[-1])
+        n, sum_g, sum_h = (np.bincount(own, weights=w if w is None else np.repeat(w[rows], len(cuts)), minlength=size) for w in (None, g, h))
         best = (1e-6, None, None)
         for k, points in enumerate(cuts):
-            below = x[rows, k][:, None] <= points
-            n = below.sum(axis=0)
-            left_g, left_h = g[rows] @ below, h[rows] @ below
+            at = slice(self.first[k], self.first[k] + len(points))
+            below, left_g, left_h = n[at].cumsum(), sum_g[at].cumsum(), sum_h[at].cumsum()
             gain = left_g**2 / (left_h + self.l2) + (total_g - left_g) ** 2 / (total_h - left_h + self.l2) - total_g**2 / (total_h + self.l2)
-            gain = np.where((n >= self.least) & (len(rows) - n >= self.least), gain, -1.0)
-            at = int(gain.argmax()) if len(gain) else 0
-            if len(gain) and gain[at] > best[0]:
-                best = (float(gain[at]), k, float(points[at]))
+            gain = np.where((below >= self.least) & (len(rows) - below >= self.least), gain, -1.0)
+            c = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[c] > best[0]:
+                best = (float(gain[c]), k, c)
         if best[1] is None:
             return leaf
-        low = x[rows, best[1]] <= best[2]
-        return (best[1], best[2], self._grow(x, g, h, cuts, rows[low], depth - 1), self._grow(x, g, h, cuts, rows[~low], depth - 1))
+        low = bins[rows, best[1]] <= self.first[best[1]] + best[2]
+        return (best[1], float(cuts[best[1]][best[2]]), self._grow(bins, g, h, cuts, rows[low], depth - 1), self._grow(bins, g, h, cuts, rows[~low], depth - 1))
 
     def _walk(self, tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -54,8 +58,12 @@ class BoostedTrees:
         out[~low] = self._walk(tree[3], x[~low])
         return out
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        margin = np.full(len(x), self.bias)
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """Log odds."""
+        out = np.full(len(x), self.bias)
         for tree in self.trees:
-            margin += self.rate * self._walk(tree, x)
-        return 1 / (1 + np.exp(-margin))
+            out += self.rate * self._walk(tree, x)
+        return out
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.margin(x)))

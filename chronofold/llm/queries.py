@@ -48,7 +48,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.scan(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
