@@ -96,11 +96,6 @@ def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float =
     return grams.select(F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("size"), "licence", "template", "grams")
 
 
-def size_limits(templates=TEMPLATES, threshold: float = THRESHOLD) -> int:
-    """No unit with more words' worth of bigrams than this can match: a bound in words, from the longest template."""
-    return math.floor(max(len(t.split()) for _, t in templates) * 2 * ((2 - threshold) / threshold)) + 2
-
-
 def _window_hits(df: DataFrame, id_col: str, text_col: str, templates, threshold: float) -> DataFrame:
     """(id, licence, dice, n_units) by windows; a window has at most as many bigrams as its template allows."""
     share = threshold / (2 - threshold)  # of a template's bigrams, in any window that is like it
@@ -162,8 +157,7 @@ WITH templates AS (SELECT licence, {grams} AS wanted FROM (SELECT licence, {toke
 units AS (
   SELECT DISTINCT doc_id, unit FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM {table}
-    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) AS unit FROM {table})
-  WHERE length(unit) - length(replace(unit, ' ', '')) <= {size_limits(templates, threshold)}),
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) AS unit FROM {table})),
 sized AS (SELECT doc_id, unit, {grams} AS grams FROM (SELECT doc_id, unit, {tokens('unit')} AS w FROM units) WHERE len(w) >= 2),
 met AS (
   SELECT doc_id, licence, unit, 2.0 * len(list_intersect(grams, wanted)) / (len(grams) + len(wanted)) AS dice
