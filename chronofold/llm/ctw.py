@@ -608,14 +608,14 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     Returns one row per input row: id, learn, n_bytes (of the lower-cased text), n_tokens,
     n_known, train_tokens, base_score (add-one unigram words), score (log10 probability of
     the text's bytes and its end), bits_per_byte (code length). Null texts count as empty:
-    their only token is the end. Ids are whole numbers (other types are cast to long); null
-    ids stay (hashed as null); repeated rows stay; with nothing to learn from, every binary
-    decision costs one bit; an empty table gives none; other columns are ignored. A text is
+    their only token is the end. Ids of any type are given as they are; null ids stay
+    (hashed as null); repeated rows stay; with nothing to learn from, every binary decision
+    costs one bit; an empty table gives none; other columns are ignored. A text is
     held whole by one task, its grams a slice at a time.
     """
     if not 3 <= depth <= 6:
         raise ValueError("depth must be 3 to 6: a gram and a number up to 256 share 64 bits")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    docs = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     shards = max(4, math.ceil(10 * math.sqrt(blocks)))
@@ -639,6 +639,6 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         .unionByName(requests.select("shard", F.lit(2).alias("kind"), F.col("pid").alias("number"), F.col("keys").alias("packed")))
     )
     answered = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(released(_answers(depth, middles, shallow)), _ANSWERED)
-    scored = dealt.groupBy("pid").cogroup(answered.groupBy("pid")).applyInArrow(_scores(depth, shards), "id long, learn boolean, n_bytes long, n_tokens long, n_known long, base double, score double")
+    scored = dealt.groupBy("pid").cogroup(answered.groupBy("pid")).applyInArrow(_scores(depth, shards), f"id {df.schema[id_col].dataType.simpleString()}, learn boolean, n_bytes long, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
     return scored.select("id", "learn", "n_bytes", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released, text_of
 from .lexicon import labelled_sample
 
 #: Labelled rows that are trained on, at most.
@@ -142,7 +142,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, label: str, keep: Column, lim
     """Train in one task over at most ``limit`` labelled rows; 2**bits weights come to the driver."""
     sample = labelled_sample(docs, labels, label, keep, limit)
     # an exchange, not coalesce: the texts are read by all executors, only the sample meets in one task
-    got = sample.repartition(1).mapInArrow(_train_one(bits, EPOCHS), "weights binary, bias double").first()
+    got = sample.repartition(1).mapInArrow(released(_train_one(bits, EPOCHS)), "weights binary, bias double").first()
     if got is None:
         return np.zeros(1 << bits, np.float32), 0.0
     return np.frombuffer(got.weights, "<f4").copy(), got.bias
@@ -164,7 +164,7 @@ def score_texts(df: DataFrame, weights: np.ndarray, bias: float, text_col: str =
         hasher = hashers.setdefault(bits, Hasher(bits))
         w = shared.value
         out = []
-        for t in texts.to_pylist():
+        for t in (t for k in range(0, len(texts), 256) for t in texts.slice(k, 256).to_pylist()):
             slots, values = hasher.features(t)
             out.append(_sigmoid(bias + float(w[slots] @ values)))
         return pa.array(out, pa.float64())

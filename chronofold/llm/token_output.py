@@ -199,8 +199,9 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-#: Schema of the index of documents.
-DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+def index_schema(ids: pa.DataType) -> pa.Schema:
+    """Schema of the index of documents."""
+    return pa.schema([("doc_id", ids), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class ShardWriter:
@@ -223,7 +224,7 @@ class ShardWriter:
     def add(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
         """Documents whose ids (end ids included) lie end to end."""
         starts, sizes = pa.array(self.total + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64())
-        self.docs.append(pa.RecordBatch.from_arrays([doc_ids, starts, sizes], schema=DOCS))
+        self.docs.append(pa.RecordBatch.from_arrays([doc_ids, starts, sizes], schema=index_schema(doc_ids.type)))
         self.total += len(ids)
         self.n_docs += len(doc_ids)
         self.waiting.append(ids.astype(self.kind, copy=False))
@@ -250,8 +251,9 @@ class ShardWriter:
         self._flush(True)
         self.out.close()
         self.sink.close()
-        with self.fs.open_output_stream(self.names[1] + self.temp) as sink, pa.ipc.new_file(sink, DOCS) as out:
-            out.write_table(pa.Table.from_batches(self.docs, DOCS).combine_chunks(), max_chunksize=65_536)
+        table = pa.Table.from_batches(self.docs, self.docs[0].schema if self.docs else index_schema(pa.int64())).combine_chunks()
+        with self.fs.open_output_stream(self.names[1] + self.temp) as sink, pa.ipc.new_file(sink, table.schema) as out:
+            out.write_table(table, max_chunksize=65_536)
         for name in self.names:
             self.fs.move(name + self.temp, name)
 
@@ -343,15 +345,16 @@ def write_dataset(df: DataFrame, folder: str, tokenizer_path: str, order: list[s
     The manifest has one row per shard that has documents: shard, n_docs, n_ids and
     start, the number of ids in all shards before it. Null texts count as empty (their
     document is the end id alone); null ids come first; rows that tie in ``order`` are
-    ordered by their text; repeated rows stay; an empty table writes no shard. Ids are
-    whole numbers (other types are cast to long); other columns are ignored.
+    ordered by their text; repeated rows stay; an empty table writes no shard. Ids of any
+    type are kept as they are; other columns are ignored.
     """
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    cols = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), *[c for c in order if c not in ("_id", "_text")])
-    dealt = cols.repartitionByRange(shards or parts(df), *keys).sortWithinPartitions(*keys, "_text")
-    manifest = cut(dealt.select("_id", "_text").mapInArrow(released(_writer(folder, tokenizer_path, end_id, length, rows)), "shard int, n_docs long, n_ids long"), "manifest")
+    named = [f"order{k}" for k in range(len(order))]
+    keys = [F.col(c).asc_nulls_first() for c in named]
+    cols = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(order, named)])
+    dealt = cols.repartitionByRange(shards or parts(df), *keys).sortWithinPartitions(*keys, "text")
+    manifest = cut(dealt.select("id", "text").mapInArrow(released(_writer(folder, tokenizer_path, end_id, length, rows)), "shard int, n_docs long, n_ids long"), "manifest")
     # one row per shard: the offsets are a running sum over as many rows as there are files
     rows_ = sorted((r.shard, r.n_docs, r.n_ids) for r in manifest.collect())
     start, out = 0, []
@@ -371,31 +374,31 @@ def _reader(folder: str):
                     crc = zlib.crc32(np.ascontiguousarray(reader.span(start, n), "<u4"))
                     found.append((doc_id, offset + start, n, crc, shard, start // reader.length, start % reader.length))
                     if len(found) == 20_000:
-                        yield _doc_rows(found)
+                        yield _doc_rows(found, reader.docs.schema.field(0).type)
                         found = []
                 if found:
-                    yield _doc_rows(found)
+                    yield _doc_rows(found, reader.docs.schema.field(0).type)
                 reader.close()
 
     return run
 
 
-DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, sequence long, sequence_at long"
+READ = "start long, n_tokens long, ids_crc32 long, shard int, sequence long, sequence_at long"
 
 
-def _doc_rows(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2
-    names = [x.split()[0] for x in DOC_SCHEMA.split(", ")]
+def _doc_rows(found: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+    kinds = [ids] + [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2
+    names = ["doc_id", *(x.split()[0] for x in READ.split(", "))]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
 
-def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document, from the files: its id, start over all shards, number and checksum of its ids, and where it begins."""
+def read_documents(manifest: DataFrame, folder: str, ids: str = "long") -> DataFrame:
+    """Per document, from the files: its id (of the Spark type ``ids``), start over all shards, number and checksum of its ids, and where it begins."""
     todo = manifest.select("shard", "start").repartition(max(1, manifest.count()), "shard")
-    return todo.mapInArrow(released(_reader(folder)), DOC_SCHEMA)
+    return todo.mapInArrow(released(_reader(folder)), f"doc_id {ids}, {READ}")
 
 
-def token_documents(df: DataFrame, tokenizer_path: str, order: list[str] | None = None, folder: str | None = None, **how) -> DataFrame:
+def token_documents(df: DataFrame, tokenizer_path: str, order: list[str] | None = None, folder: str | None = None, id_col: str = "doc_id", **how) -> DataFrame:
     """Write the dataset to ``folder`` (a fresh shared one if none is given) and return what reading it back gives."""
     folder = folder or fresh_path(df.sparkSession, "tokens")
-    return read_documents(write_dataset(df, folder, tokenizer_path, order or ["doc_id"], **how), folder)
+    return read_documents(write_dataset(df, folder, tokenizer_path, order or [id_col], id_col, **how), folder, df.schema[id_col].dataType.simpleString())
