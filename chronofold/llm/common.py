@@ -7,6 +7,7 @@ temporary folder, so a lost executor costs a retry of its tasks and no data.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -39,14 +40,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[list[str]] = []  # the paths of each open scratch
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    for paths in _written:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What ``cut`` writes inside is removed at the end, but for what is handed to the function that this gives."""
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0] for f in df.inputFiles())
+        kept.update(paths[-1:])  # a table without rows has no files
+        return df
+
+    _written.append(paths)
+    try:
+        yield keep
+    finally:
+        _written[:] = [p for p in _written if p is not paths]
+        for path in paths:
+            if path.rsplit("/", 1)[1] not in {k.rsplit("/", 1)[1] for k in kept}:  # names are unique
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
@@ -119,6 +147,15 @@ def numbered_ids(df: DataFrame, id_col: str) -> DataFrame:
     return cut(dealt.join(F.broadcast(offsets), "part").select("id", (F.col("at") + F.col("shift")).alias("number")), "numbers")
 
 
+def by_number(df: DataFrame, id_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``find`` gives for numbers in place of the ids, with the ids in their place again."""
+    numbers = numbered_ids(df, id_col)
+    plain = df.withColumnRenamed(id_col, "id").drop("number") if id_col != "id" else df.drop("number")
+    found = find(plain.join(numbers, "id", "left"))
+    named = found.withColumnRenamed("id", "number").join(numbers, "number", "left").drop("number")
+    return named.withColumnRenamed("component", "number").join(numbers.withColumnRenamed("id", "component"), "number", "left").select("id", *[c for c in found.columns if c != "id"])
+
+
 def deal_into_cells(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
     """Split every key's rows into cells of bounded size in which all pairs of the key still meet.
 

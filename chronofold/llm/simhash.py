@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, deal_into_cells, numbered_ids, parts, released, small, text_of, unused, whole_cells, whole_numbers
+from .common import by_number, cut, deal_into_cells, parts, released, scratch, small, text_of, unused, whole_cells, whole_numbers
 from .components import components
 
 BITS = 64
@@ -187,14 +187,16 @@ def _signed(x: int) -> int:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 4, width: int = 4) -> DataFrame:
     """(id, fp, component): one row per input row.
 
-    component is the smallest id reachable over links of at most t differing bits. Ids that
+    component is the smallest id reachable over links of at most t differing bits. The
+    shingles have four words, as the fingerprint's contract says; ``keep_one`` goes by
+    five-word shingles, in which its similarity is measured. Ids that
     are not whole numbers are numbered in their order. Rows with a null id are
     fingerprinted but join no group (component null); null and empty texts have fingerprint
     zero and link like any other; rows that share an id are one vertex; an empty table
     gives an empty result; other columns are ignored.
     """
     if not whole_numbers(df, id_col):
-        return _renamed(df, id_col, lambda numbered: near_duplicates(numbered, "number", text_col, t, width))
+        return by_number(df, id_col, lambda numbered: near_duplicates(numbered, "number", text_col, t, width))
     prints = cut(fingerprints(df, id_col, text_col, width), "fingerprints")
     reps = cut(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     # an id that occurs with several texts ties its fingerprints together
@@ -205,15 +207,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def _renamed(df: DataFrame, id_col: str, find) -> DataFrame:
-    """What ``find`` gives for numbers in place of the ids, with the ids in their place again."""
-    numbers = numbered_ids(df, id_col)
-    plain = df.withColumnRenamed(id_col, "id").drop("number") if id_col != "id" else df.drop("number")
-    found = find(plain.join(numbers, "id", "left"))
-    named = found.withColumnRenamed("id", "number").join(numbers, "number", "left").drop("number")
-    return named.withColumnRenamed("component", "number").join(numbers.withColumnRenamed("id", "component"), "number", "left").select("id", *[c for c in found.columns if c != "id"])
-
-
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles, sorted; a text of at most ``width`` words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -225,17 +218,9 @@ def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(g), seed) for g in zip(*(words[k:] for k in range(width)))), np.uint64, len(words) - width + 1))
 
 
-def _alike(a: int, b: int, shared: int, threshold: float) -> bool:
-    return shared >= threshold * (a + b - shared) - 1e-9
-
-
-MEET = 4  # members that the prefixes of two alike sets share
-
-
 def _prefix_size(n: int, threshold: float) -> int:
-    """Two sets of similarity ``threshold`` or more share MEET (or all that the smaller must share) of their first so many members in any common order."""
-    least = int(np.ceil(threshold * n - 1e-9))
-    return n - least + min(MEET, least)
+    """Two sets of similarity ``threshold`` or more share one of their first so many members in any common order."""
+    return n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0
 
 
 def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -256,121 +241,138 @@ def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8
 
 
 def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
-    """(id, sig, size, fp, prefix): sig names the set of shingles, fp is its SimHash, prefix holds its rarest members, rarest first."""
+    """(id, sig, mark, size, fp, prefix, members): of each text's set of shingles two names, its size and SimHash, its rarest members, and all (32 bits each)."""
     hashes, counts = _common(df, id_col, text_col, width)
+    names = ["id", "sig", "mark", "size", "fp", "prefix", "members"]
 
     def run(batches):
         for batch in small(batches):
-            sigs, sizes, prints, prefixes = [], [], [], []
+            out: list[list] = [[] for _ in names[1:]]
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width)
                 at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
                 often = np.where(hashes[at] == h, counts[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
                 first = np.lexsort((h, often))[: _prefix_size(len(h), threshold)]
-                sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sizes.append(len(h))
-                prints.append(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)))
-                prefixes.append((h[first] & np.uint64(2**40 - 1)).view(np.int64))  # short keys: a collision only adds a candidate
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(prints), ">u8").astype(np.uint64).view(np.int64), pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "sig", "size", "fp", "prefix"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(released(run), "id long, sig binary, size int, fp long, prefix array<long>")
-
-
-def _cell_pairs(batches):
-    """All pairs of a cell's members that lie in different groups; rows come sorted by cell and member."""
-    for table in whole_cells(batches):
-        cell, rep, group = (table.column(k).to_numpy() for k in range(3))
-        at, step = np.arange(len(cell)), 0
-        while len(at):
-            step += 1
-            at = at[at + step < len(cell)]
-            at = at[cell[at + step] == cell[at]]
-            here = at[group[at] != group[at + step]]
-            if len(here):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[here], pa.int64()), pa.array(rep[here + step], pa.int64())], ["a", "b"])
+                raw = h.tobytes()
+                print_ = int.from_bytes(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)), "big", signed=True)
+                short = (h[first] & np.uint64(2**40 - 1)).view(np.int64)  # a collision only adds a candidate
+                for column, value in zip(out, (xxhash.xxh3_128_digest(raw), xxhash.xxh3_64_intdigest(raw) >> 1, len(h), print_, short, (h >> np.uint64(32)).astype("<u4").tobytes())):
+                    column.append(value)
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
+
+    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(released(run), "id long, sig binary, mark long, size int, fp long, prefix array<long>, members binary")
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many members each two of the sets share."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.empty(0, bool)
+    number = np.cumsum(new) - 1
+    shared = (np.bincount(number) > 1)[number] if len(flat) else new
+    owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    every = int(number[-1]) + 1 if len(number) else 0
+    for lo in range(0, every, columns):
+        here = slice(*np.searchsorted(number, [lo, lo + columns]))
+        m = np.zeros((len(sets), min(columns, every - lo)), np.float32)
+        m[owner[here], number[here] - lo] = 1
+        out += m @ m.T
+    return out
 
 
-def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs whose shingle sets reach the threshold; an id with several texts links by any of them."""
+def _alike(threshold: float):
+    """A forest of the links among each cell's members; rows come sorted by cell."""
 
     def run(batches):
-        for batch in small(batches, 512):
-            kept = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if _alike(len(x), len(y), len(np.intersect1d(x, y, True)), threshold):
-                    kept.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept, pa.int32())) for k in range(2)], ["a", "b"])
-
-    met = pairs.join(held.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    return cut(met.select("a", "b", "sa", "sb").mapInArrow(released(run), "a long, b long").distinct(), "alike")
+        for table in whole_cells(small(batches), 2048):
+            cell, rep, group = (table.column(k).to_numpy() for k in (0, 1, 2))
+            members = table.column(3).to_pylist()
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            tails, heads = [], []
+            for lo, hi in zip(starts, np.r_[starts[1:], len(cell)]):
+                if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+                    continue
+                sets = [np.frombuffer(x, "<u4") for x in members[lo:hi]]
+                sizes = np.array([len(x) for x in sets])
+                inner = overlaps(sets)
+                near = inner >= threshold * (sizes[:, None] + sizes - inner) - 1e-6
+                left = np.arange(hi - lo)
+                while len(left) > 1:
+                    front, left = left[:1], left[1:]
+                    while len(front) and len(left):
+                        one, front = front[0], front[1:]
+                        hit = near[one, left]
+                        tails.append(np.full(int(hit.sum()), rep[lo + one]))
+                        heads.append(rep[lo + left[hit]])
+                        front, left = np.concatenate([front, left[hit]]), left[~hit]
+            if tails:
+                a, b = np.concatenate(tails), np.concatenate(heads)
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
 
+    return run
 
-def _held(df: DataFrame, asked: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, s): the shingle sets of the asked ids; only ids that occur more than once are made distinct."""
 
-    def sets(batches):
-        for some in small(batches):
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, width).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["id", "s"])
+def _linked(blocks: DataFrame, sets: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+    """(a, b): links that connect the members (block, rep, group, size) whose sets reach the threshold.
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(asked, "id", "left_semi")
-    repeated = cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
-    found = texts.join(repeated, "id", "left_anti").mapInArrow(released(sets), "id long, s binary")
-    return cut(found.unionByName(texts.join(repeated, "id", "left_semi").distinct().mapInArrow(released(sets), "id long, s binary")), "shingles")
+    Sets that are so alike differ in size by the threshold at most: a member is dealt by its
+    block and the bin of its size, and by the next bin, so such sizes meet; who meets no
+    other is left out before any set is sent.
+    """
+    bin_ = F.floor(F.log("size") / F.lit(-np.log(threshold) * (1 + 1e-9) if threshold < 1 else 1e-9)).cast("long")
+    binned = blocks.withColumn("bin", F.explode(F.array(bin_, bin_ + 1)))
+    cells = deal_into_cells(binned, ["block", "bin"], "rep", cell_rows).select("cell", "rep", "group", "size").distinct()
+    met = cells.join(sets, ["rep", "size"]).select("cell", "rep", "group", "members")
+    dealt = met.repartition(parts(blocks), "cell").sortWithinPartitions("cell")
+    return cut(dealt.mapInArrow(released(_alike(threshold)), "a long, b long").distinct(), "alike")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, cell_rows: int = 1024, t: int = 4) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, cell_rows: int = 512, t: int = 4) -> DataFrame:
     """(id, component) per row with an id: groups over links of Jaccard similarity ``threshold`` or more of the sets of word shingles.
 
-    Exact: two sets that are so alike share MEET members of their prefixes (a set's rarest
-    members, as many as the threshold allows to differ, and MEET), so the pairs that meet
-    that often and whose sizes allow it are held against each other's whole sets. Equal
-    sets are one vertex. SimHash finds most copies first: fingerprints that differ in at most
-    ``t`` bits (``links``), and the first member of a key and the key's others, are held
-    against each other's whole sets before all pairs of different groups are, so a large
-    group costs no square of its size. A frequent key's members are rows of their own, in
-    joins that Spark can split and in cells of bounded size.
-    Ids that are not whole numbers are numbered in their order.
+    Two sets that are so alike share a member of their prefixes (a set's rarest members, one
+    more than the threshold allows to differ), so texts meet by the members of prefixes.
+    All that meet at some member form a block with the smallest of them, whichever members
+    these are, and a text comes into a block once. Blocks are dealt by size, for sets that
+    are so alike are nearly as large, and into cells of bounded size, in which whole sets are held against each other and which answer with a forest
+    of the links found. Equal sets are one vertex. SimHash comes first: texts whose
+    fingerprints differ in at most ``t`` bits (``links``) are held against each other, and
+    a block's cells whose members these have connected already are not looked at again.
+    The sets' members are compared by 32 bits. A block of n texts that aren't all connected
+    costs n * n / ``cell_rows`` rows. Ids that are not whole numbers are numbered in order.
     """
     if not whole_numbers(df, id_col):
-        return _renamed(df, id_col, lambda numbered: similar_groups(numbered, "number", text_col, width, threshold, cell_rows, t))
+        return by_number(df, id_col, lambda numbered: similar_groups(numbered, "number", text_col, width, threshold, cell_rows, t))
     rows = cut(_prefixes(df, id_col, text_col, width, threshold).where("id is not null"), "prefixes")
-    reps = cut(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp")), "reps")
-    ids = rows.select("id", "sig").join(reps.select("sig", "rep"), "sig").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    once = rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
-    members = once.select("rep", F.explode("prefix").alias("key"))
-    counted = members.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct("key").alias("of"), "first")
-    keys = cut(members.join(counted, F.struct("key") == F.col("of")).select("key", "rep", "first"), "keys")
-    sizes = reps.groupBy("rep").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        often = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        sized = often.join(sizes.withColumnsRenamed({"rep": "a", "lo": "la", "hi": "ha"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "lo": "lb", "hi": "hb"}), "b")
-        need = F.least(F.lit(MEET), F.ceil(F.least("la", "lb") * F.lit(threshold) - F.lit(1e-9)))
-        fits = (F.col("ha") >= F.col("lb") * F.lit(threshold) - F.lit(1e-9)) & (F.col("hb") >= F.col("la") * F.lit(threshold) - F.lit(1e-9))
-        return sized.where(fits & (F.col("n") >= need)).select("a", "b")
-
-    met = keys.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(sizes, "rep")
-    asked = cut(met.where(F.col("n") >= F.least(F.lit(MEET), F.ceil(F.col("lo") * F.lit(threshold * threshold) - F.lit(1e-9)))).select(F.col("rep").alias("id")), "asked")
-    held = _held(df, asked, rows, id_col, text_col, width)
-    by_print = reps.where("size > 0").groupBy("fp").agg(F.min("rep").alias("first"))
-    equal = reps.join(by_print, "fp").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    hashed = links(by_print.select("fp", F.col("first").alias("rep")), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = equal.unionByName(hashed).where("a <> b").distinct()
-    starred = keys.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    # a pair that no prefix brings together often enough isn't alike, whatever its fingerprints
-    known = near.join(asked.select(F.col("id").alias("a")), "a", "left_semi").join(asked.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    stars = cut(allowed(starred).unionByName(known).distinct(), "stars")
-    first = _verified(stars, held, threshold)
+    reps = cut(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")), "reps")
+    named = cut(rows.select("id", "sig").join(reps.select("sig", "rep", "size"), "sig"), "names")
+    ids = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    # members that meet: only where sets of different names do
+    members = rows.select("id", "mark", F.explode("prefix").alias("key"))
+    counted = members.groupBy("key").agg(F.min("id").alias("block"), F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select(F.struct("key").alias("of"), "block")
+    met = members.join(counted, F.struct("key") == F.col("of")).select("block", "id").distinct()
+    # a member of prefixes that the smallest text has is in its every copy's, so blocks are named by representatives
+    blocks = cut(met.join(named.select("id", "rep", "size"), "id").select("block", "rep", "size").distinct(), "blocks")
+    sets = rows.select(F.col("id").alias("rep"), "size", "members")
+    # texts with equal fingerprints, and those that the chains bring together
+    prints = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
+    equal = reps.join(prints.withColumnRenamed("rep", "block"), "fp").select("block", "rep")
+    hashed = links(prints, t).select(F.least("a", "b").alias("block"), F.greatest("a", "b").alias("rep"))
+    near = equal.unionByName(hashed).where("block <> rep").distinct()
+    stars = near.unionByName(near.select("block", F.col("block").alias("rep")).distinct())
+    # only what shares a member of its prefix can be alike
+    sized = stars.join(blocks.select("rep", "size").distinct(), "rep").withColumn("group", F.col("rep"))
+    first = _linked(cut(sized, "stars"), sets, threshold, cell_rows)
     groups = cut(components(first), "groups")
-    grouped = keys.join(groups, keys.rep == groups.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.struct("key").alias("of"))
-    cells = deal_into_cells(grouped.join(mixed, F.struct("key") == F.col("of"), "left_semi"), ["key"], "rep", cell_rows).select("cell", "rep", "group")
-    others = cells.repartition(parts(rows), "cell").sortWithinPartitions("cell", "rep").mapInArrow(released(_cell_pairs), "a long, b long")
-    second = _verified(cut(allowed(others).join(stars, ["a", "b"], "left_anti"), "pairs"), held, threshold)
+    grouped = blocks.join(groups, blocks.rep == groups.node, "left").select("block", "rep", "size", F.coalesce("component", "rep").alias("group"))
+    mixed = grouped.groupBy("block").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.struct("block").alias("of"))
+    second = _linked(cut(grouped.join(mixed, F.struct("block") == F.col("of"), "left_semi"), "mixed"), sets, threshold, cell_rows)
     found = components(first.unionByName(second).unionByName(ids))
     classes = reps.join(found, reps.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    return rows.select("id", "sig").join(classes, "sig").select("id", "component")
+    return named.select("id", "sig").join(classes, "sig").select("id", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -380,7 +382,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     the smallest hash. All columns of ``df`` are returned.
     """
     kept, place = unused(df, "_kept", "_place")
-    groups = cut(similar_groups(df, id_col, text_col, width, threshold), "near-copies")
+    with scratch(df.sparkSession) as keep:
+        groups = keep(cut(similar_groups(df, id_col, text_col, width, threshold), "near-copies"))
     firsts = groups.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     plain = df.join(firsts.where("n = 1").select(F.col("id").alias(kept)), F.col(id_col) == F.col(kept), "left_semi")
     twice = df.join(firsts.where("n > 1").select(F.col("id").alias(kept)), F.col(id_col) == F.col(kept), "left_semi")
