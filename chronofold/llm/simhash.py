@@ -241,9 +241,9 @@ def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8
 
 
 def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
-    """(id, sig, mark, size, fp, prefix, members): of each text's set of shingles two names, its size and SimHash, its rarest members, and all (32 bits each)."""
+    """(id, sig, mark, size, fp, prefix, few, members): of each text's set of shingles two names, its size and SimHash, its rarest members, a sample, and all (32 bits each)."""
     hashes, counts = _common(df, id_col, text_col, width)
-    names = ["id", "sig", "mark", "size", "fp", "prefix", "members"]
+    names = ["id", "sig", "mark", "size", "fp", "prefix", "few", "members"]
 
     def run(batches):
         for batch in small(batches):
@@ -256,12 +256,34 @@ def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold:
                 raw = h.tobytes()
                 print_ = int.from_bytes(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)), "big", signed=True)
                 short = (h[first] & np.uint64(2**40 - 1)).view(np.int64)  # a collision only adds a candidate
-                for column, value in zip(out, (xxhash.xxh3_128_digest(raw), xxhash.xxh3_64_intdigest(raw) >> 1, len(h), print_, short, (h >> np.uint64(32)).astype("<u4").tobytes())):
+                for column, value in zip(out, (xxhash.xxh3_128_digest(raw), xxhash.xxh3_64_intdigest(raw) >> 1, len(h), print_, short, sample((h >> np.uint64(32)).astype("<u4")).tobytes(), (h >> np.uint64(32)).astype("<u4").tobytes())):
                     column.append(value)
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(released(run), "id long, sig binary, mark long, size int, fp long, prefix array<long>, members binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(released(run), "id long, sig binary, mark long, size int, fp long, prefix array<long>, few binary, members binary")
+
+
+def depth_of(size: int) -> int:
+    """How often a set is halved by its members' hashes to leave a sample of 64 to 128, about."""
+    return max(0, int(np.log2(max(size, 1) / 64)))
+
+
+def sample(members: np.ndarray) -> np.ndarray:
+    """Sorted members below a bound; a larger set's sample is nested in a smaller's way of sampling."""
+    return members[: np.searchsorted(members, np.uint64(1 << 32) >> np.uint64(depth_of(len(members))))]
+
+
+def maybe_alike(few: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs' sizes and samples allow the threshold: a sample must miss it by 0.3, some six deviations, to rule a pair out."""
+    depth = np.array([depth_of(int(n)) for n in sizes])
+    inner = overlaps(few)
+    counts = np.array([np.searchsorted(x, [np.uint64(1 << 32) >> np.uint64(k) for k in range(depth.max() + 1)]) for x in few])
+    deep = np.maximum(depth[:, None], depth)
+    own = counts[np.arange(len(few))[:, None], deep]
+    both = own + own.T - inner
+    low, high = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+    return (low >= threshold * high - 1e-6) & (inner >= (threshold - 0.3) * both - 1e-6)
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -283,18 +305,42 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
+def _cells_of(batches, rows: int):
+    """(first row, end, columns) of each cell of several groups; rows come sorted by cell, with a group in the third column."""
+    for table in whole_cells(small(batches), rows):
+        cell, group = table.column(0).to_numpy(), table.column(2).to_numpy()
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        spans = [(lo, hi) for lo, hi in zip(starts, np.r_[starts[1:], len(cell)]) if hi - lo > 1 and not (group[lo:hi] == group[lo]).all()]
+        yield table, spans
+
+
+def _asked(threshold: float):
+    """(block, rep): the members of each cell that may be like one of another group, by sizes and samples."""
+
+    def run(batches):
+        for table, spans in _cells_of(batches, 1 << 14):
+            rep, group, size, block = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
+            few = table.column(5).to_pylist()
+            kept = []
+            for lo, hi in spans:
+                near = maybe_alike([np.frombuffer(x, "<u4") for x in few[lo:hi]], size[lo:hi].astype(np.int64), threshold)
+                near &= group[lo:hi, None] != group[lo:hi]
+                kept.append(lo + np.flatnonzero(near.any(axis=1)))
+            if kept:
+                at = np.concatenate(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(block[at], pa.int64()), pa.array(rep[at], pa.int64()), pa.array(group[at], pa.int64()), pa.array(size[at], pa.int32())], ["block", "rep", "group", "size"])
+
+    return run
+
+
 def _alike(threshold: float):
-    """A forest of the links among each cell's members; rows come sorted by cell."""
+    """A forest of the links among each cell's members."""
 
     def run(batches):
-        for table in whole_cells(small(batches), 2048):
-            cell, rep, group = (table.column(k).to_numpy() for k in (0, 1, 2))
-            members = table.column(3).to_pylist()
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for table, spans in _cells_of(batches, 2048):
+            rep, members = table.column(1).to_numpy(), table.column(3).to_pylist()
             tails, heads = [], []
-            for lo, hi in zip(starts, np.r_[starts[1:], len(cell)]):
-                if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
-                    continue
+            for lo, hi in spans:
                 sets = [np.frombuffer(x, "<u4") for x in members[lo:hi]]
                 sizes = np.array([len(x) for x in sets])
                 inner = overlaps(sets)
@@ -315,19 +361,22 @@ def _alike(threshold: float):
     return run
 
 
-def _linked(blocks: DataFrame, sets: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
+def _linked(blocks: DataFrame, rows: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     """(a, b): links that connect the members (block, rep, group, size) whose sets reach the threshold.
 
-    Sets that are so alike differ in size by the threshold at most: a member is dealt by its
-    block and the bin of its size, and by the next bin, so such sizes meet; who meets no
-    other is left out before any set is sent.
+    Samples of the sets are sent to the blocks first; whole sets only of members that these
+    leave some partner.
     """
-    bin_ = F.floor(F.log("size") / F.lit(-np.log(threshold) * (1 + 1e-9) if threshold < 1 else 1e-9)).cast("long")
-    binned = blocks.withColumn("bin", F.explode(F.array(bin_, bin_ + 1)))
-    cells = deal_into_cells(binned, ["block", "bin"], "rep", cell_rows).select("cell", "rep", "group", "size").distinct()
-    met = cells.join(sets, ["rep", "size"]).select("cell", "rep", "group", "members")
-    dealt = met.repartition(parts(blocks), "cell").sortWithinPartitions("cell")
-    return cut(dealt.mapInArrow(released(_alike(threshold)), "a long, b long").distinct(), "alike")
+
+    def met(those: DataFrame, column: str, *more: str) -> DataFrame:
+        cells = deal_into_cells(those, ["block"], "rep", cell_rows).select("cell", "rep", "group", "size", *more)
+        found = cells.join(rows.select(F.col("id").alias("rep"), "size", column), ["rep", "size"])
+        return found.repartition(parts(blocks), "cell").sortWithinPartitions("cell")
+
+    few = met(blocks, "few", "block").select("cell", "rep", "group", "size", "block", "few")
+    asked = cut(few.mapInArrow(released(_asked(threshold)), "block long, rep long, group long, size int").distinct(), "asked")
+    whole = met(asked, "members").select("cell", "rep", "group", "members")
+    return cut(whole.mapInArrow(released(_alike(threshold)), "a long, b long").distinct(), "alike")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, cell_rows: int = 512, t: int = 4) -> DataFrame:
@@ -336,9 +385,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two sets that are so alike share a member of their prefixes (a set's rarest members, one
     more than the threshold allows to differ), so texts meet by the members of prefixes.
     All that meet at some member form a block with the smallest of them, whichever members
-    these are, and a text comes into a block once. Blocks are dealt by size, for sets that
-    are so alike are nearly as large, and into cells of bounded size, in which whole sets are held against each other and which answer with a forest
-    of the links found. Equal sets are one vertex. SimHash comes first: texts whose
+    these are, and a text comes into a block once. Blocks are dealt into cells of bounded
+    size. Samples of 64 to 128 members are sent there first and rule out members without a
+    partner (a pair at the threshold is lost with a chance of about 1e-8); then whole sets
+    are held against each other, and a cell answers with a forest of the links found.
+    Equal sets are one vertex. SimHash comes first: texts whose
     fingerprints differ in at most ``t`` bits (``links``) are held against each other, and
     a block's cells whose members these have connected already are not looked at again.
     The sets' members are compared by 32 bits. A block of n texts that aren't all connected
@@ -356,7 +407,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = members.join(counted, F.struct("key") == F.col("of")).select("block", "id").distinct()
     # a member of prefixes that the smallest text has is in its every copy's, so blocks are named by representatives
     blocks = cut(met.join(named.select("id", "rep", "size"), "id").select("block", "rep", "size").distinct(), "blocks")
-    sets = rows.select(F.col("id").alias("rep"), "size", "members")
     # texts with equal fingerprints, and those that the chains bring together
     prints = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
     equal = reps.join(prints.withColumnRenamed("rep", "block"), "fp").select("block", "rep")
@@ -365,11 +415,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = near.unionByName(near.select("block", F.col("block").alias("rep")).distinct())
     # only what shares a member of its prefix can be alike
     sized = stars.join(blocks.select("rep", "size").distinct(), "rep").withColumn("group", F.col("rep"))
-    first = _linked(cut(sized, "stars"), sets, threshold, cell_rows)
+    first = _linked(cut(sized, "stars"), rows, threshold, cell_rows)
     groups = cut(components(first), "groups")
     grouped = blocks.join(groups, blocks.rep == groups.node, "left").select("block", "rep", "size", F.coalesce("component", "rep").alias("group"))
     mixed = grouped.groupBy("block").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.struct("block").alias("of"))
-    second = _linked(cut(grouped.join(mixed, F.struct("block") == F.col("of"), "left_semi"), "mixed"), sets, threshold, cell_rows)
+    second = _linked(cut(grouped.join(mixed, F.struct("block") == F.col("of"), "left_semi"), "mixed"), rows, threshold, cell_rows)
     found = components(first.unionByName(second).unionByName(ids))
     classes = reps.join(found, reps.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return named.select("id", "sig").join(classes, "sig").select("id", "component")
