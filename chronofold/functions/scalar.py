@@ -28,7 +28,10 @@ def encode_timestamp(time: Column) -> tuple[Column, Column]:
 
 
 def decode_timestamp(high: Column, low: Column) -> Column:
-    return F.timestamp_micros(F.floor(decode_int64(high, low) / 1000).cast("long")).cast("timestamp_ntz")
+    """The microsecond that the nanoseconds lie in; whole-number division, since nanoseconds of today need more bits than a double has."""
+    nanos = decode_int64(high, low)
+    micros = F.call_function("div", nanos, F.lit(1000).cast("long")) - (nanos % 1000 < 0).cast("long")
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
 
 
 def less(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:

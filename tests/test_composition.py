@@ -245,3 +245,12 @@ def test_inspection(spark):
     profile = inspect.profiled(df.groupBy("k").count())
     assert profile.rows == 1 and profile.seconds > 0 and any("Exchange" in o for o in profile.bottlenecks())
     assert inspect.trend([1, 2, 3, 4])["growing"] and not inspect.trend([5, 5, 5])["growing"] and inspect.trend([2, 4])["slope"] == 2
+
+
+def test_timestamps_come_back_to_the_microsecond(spark):
+    times = [datetime.datetime(2024, 1, 1, 0, 0, 11, 172425) + datetime.timedelta(microseconds=k * 7_654_321) for k in range(500)] + [datetime.datetime(1969, 12, 31, 23, 59, 59, 999_999)]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    back = df.select("t", scalar.decode_timestamp(*scalar.encode_timestamp(F.col("t"))).alias("u")).collect()
+    assert [r.u for r in back] == [r.t for r in back]
+    ns = spark.createDataFrame([(1,), (1999,), (-1,)], "n long").select(F.unix_micros(scalar.decode_timestamp(*scalar.encode_int64(F.col("n"))).cast("timestamp")).alias("m"))
+    assert [r.m for r in ns.collect()] == [0, 1, -1]
