@@ -54,7 +54,8 @@ def fold(
     """
     keep = list(dict.fromkeys([*key, *order, *(keep or [])]))
     need = list(dict.fromkeys([*keep, *inputs]))
-    rows = df.select(*need).repartition(*key).sortWithinPartitions(*key, *order)
+    # by a hash of the key: after a join on the key itself Spark would drop this exchange, and then split a key's rows or read them by mapper
+    rows = df.select(*need).repartition(F.xxhash64(*key)).sortWithinPartitions(*key, *order)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields] + [outputs])
     made = columns_of(outputs)
     ends = [n for n, _ in made].index(done) if done else None

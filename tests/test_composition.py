@@ -254,3 +254,19 @@ def test_timestamps_come_back_to_the_microsecond(spark):
     assert [r.u for r in back] == [r.t for r in back]
     ns = spark.createDataFrame([(1,), (1999,), (-1,)], "n long").select(F.unix_micros(scalar.decode_timestamp(*scalar.encode_int64(F.col("n"))).cast("timestamp")).alias("m"))
     assert [r.m for r in ns.collect()] == [0, 1, -1]
+
+
+def test_folds_after_a_join_on_the_key_keep_keys_whole(spark):
+    rows = spark.range(0, 4_000, numPartitions=8).select((F.col("id") % 5).alias("k"), "id", F.lit(1.0).alias("x"))
+    few = spark.range(0, 5, numPartitions=3).groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("one")).withColumnRenamed("id", "k")
+    # a sorted join is planned, and turned to a broadcast when the sizes are known; so few rows would go to one task
+    how = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {c: spark.conf.get(c, None) for c in how}
+    for c, to in how.items():
+        spark.conf.set(c, to)
+    try:
+        counted = fd.fold(rows.join(few, "k", "left"), ["k"], ["id"], ["x", "one"], lambda n, row: ((n + 1.0,), n + 1.0), lambda: 0.0, "n double")
+        assert all(r.n == r.id // 5 + 1 for r in counted.collect())
+    finally:
+        for c, to in was.items():
+            spark.conf.unset(c) if to is None else spark.conf.set(c, to)
