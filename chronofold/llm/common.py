@@ -151,9 +151,19 @@ def by_number(df: DataFrame, id_col: str, find: Callable[[DataFrame], DataFrame]
     """What ``find`` gives for numbers in place of the ids, with the ids in their place again."""
     numbers = numbered_ids(df, id_col)
     plain = df.withColumnRenamed(id_col, "id").drop("number") if id_col != "id" else df.drop("number")
-    found = find(plain.join(numbers, "id", "left"))
-    named = found.withColumnRenamed("id", "number").join(numbers, "number", "left").drop("number")
-    return named.withColumnRenamed("component", "number").join(numbers.withColumnRenamed("id", "component"), "number", "left").select("id", *[c for c in found.columns if c != "id"])
+    found = find(plain.join(by_sort(numbers), "id", "left"))
+    named = found.withColumnRenamed("id", "number").join(by_sort(numbers), "number", "left").drop("number")
+    return named.withColumnRenamed("component", "number").join(by_sort(numbers.withColumnRenamed("id", "component")), "number", "left").select("id", *[c for c in found.columns if c != "id"])
+
+
+def by_sort(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is never sent whole to the driver and from there to every executor.
+
+    Spark goes by the size of files and of columns, which says nothing of the rows that an
+    explode makes of them, nor of columns that Parquet packs: a table under its threshold
+    for broadcasts can be hundreds of MB there. Sorted joins spill, and hot keys can be split.
+    """
+    return df.hint("merge")
 
 
 def deal_into_cells(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
@@ -168,7 +178,7 @@ def deal_into_cells(rows: DataFrame, key: list[str], member: str, most: int) ->
     # a struct isn't what the counts are grouped by: the join's sides get exchanges of their own, and a hot key's can be split
     counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.struct(*key).alias("_of"), "_n")
     chunks = F.ceil(F.col("_n") / F.lit(most)).cast("int")
-    dealt = rows.join(counted, F.struct(*key) == F.col("_of")).drop("_of").withColumn("_c", chunks).withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_c")).cast("int"))
+    dealt = rows.join(by_sort(counted), F.struct(*key) == F.col("_of")).drop("_of").withColumn("_c", chunks).withColumn("_mine", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
     paired = dealt.withColumn("_other", other)
     cell = F.xxhash64(*key, F.least("_mine", "_other"), F.greatest("_mine", "_other"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released
+from .common import by_sort, cut, released
 
 #: Edges that a task contracts together; its memory is bounded by them.
 TOGETHER = 200_000
@@ -71,10 +71,10 @@ def _least(edges: DataFrame) -> DataFrame:
 def _round(edges: DataFrame) -> DataFrame:
     """edges: distinct (a, b) with a > b."""
     up = _least(edges).select("k", "m")
-    large = edges.join(up, F.col("b") == F.col("k"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    large = edges.join(by_sort(up), F.col("b") == F.col("k"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
     least = _least(large)
     several = least.where("n > 1").select("k", "m")
-    others = large.join(several, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    others = large.join(by_sort(several), F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_number, cut, deal_into_cells, parts, released, scratch, small, text_of, unused, whole_cells, whole_numbers
+from .common import by_number, by_sort, cut, deal_into_cells, parts, released, scratch, small, text_of, unused, whole_cells, whole_numbers
 from .components import components
 
 BITS = 64
@@ -200,10 +200,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = cut(fingerprints(df, id_col, text_col, width), "fingerprints")
     reps = cut(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     # an id that occurs with several texts ties its fingerprints together
-    ids = prints.where("id is not null").join(reps, "fp").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    ids = prints.where("id is not null").join(by_sort(reps), "fp").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = components(links(reps, t).unionByName(ids))
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(classes, "fp", "left")
+    classes = reps.join(by_sort(found), reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    out = prints.join(by_sort(classes), "fp", "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
@@ -370,7 +370,7 @@ def _linked(blocks: DataFrame, rows: DataFrame, threshold: float, cell_rows: int
 
     def met(those: DataFrame, column: str, *more: str) -> DataFrame:
         cells = deal_into_cells(those, ["block"], "rep", cell_rows).select("cell", "rep", "group", "size", *more)
-        found = cells.join(rows.select(F.col("id").alias("rep"), "size", column), ["rep", "size"])
+        found = cells.join(by_sort(rows.select(F.col("id").alias("rep"), "size", column)), ["rep", "size"])
         return found.repartition(parts(blocks), "cell").sortWithinPartitions("cell")
 
     few = met(blocks, "few", "block").select("cell", "rep", "group", "size", "block", "few")
@@ -399,30 +399,30 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return by_number(df, id_col, lambda numbered: similar_groups(numbered, "number", text_col, width, threshold, cell_rows, t))
     rows = cut(_prefixes(df, id_col, text_col, width, threshold).where("id is not null"), "prefixes")
     reps = cut(rows.groupBy("sig").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")), "reps")
-    named = cut(rows.select("id", "sig").join(reps.select("sig", "rep", "size"), "sig"), "names")
+    named = cut(rows.select("id", "sig").join(by_sort(reps.select("sig", "rep", "size")), "sig"), "names")
     ids = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     # members that meet: only where sets of different names do
     members = rows.select("id", "mark", F.explode("prefix").alias("key"))
     counted = members.groupBy("key").agg(F.min("id").alias("block"), F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select(F.struct("key").alias("of"), "block")
-    met = members.join(counted, F.struct("key") == F.col("of")).select("block", "id").distinct()
+    met = members.join(by_sort(counted), F.struct("key") == F.col("of")).select("block", "id").distinct()
     # a member of prefixes that the smallest text has is in its every copy's, so blocks are named by representatives
-    blocks = cut(met.join(named.select("id", "rep", "size"), "id").select("block", "rep", "size").distinct(), "blocks")
+    blocks = cut(met.join(by_sort(named.select("id", "rep", "size")), "id").select("block", "rep", "size").distinct(), "blocks")
     # texts with equal fingerprints, and those that the chains bring together
     prints = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
-    equal = reps.join(prints.withColumnRenamed("rep", "block"), "fp").select("block", "rep")
+    equal = reps.join(by_sort(prints.withColumnRenamed("rep", "block")), "fp").select("block", "rep")
     hashed = links(prints, t).select(F.least("a", "b").alias("block"), F.greatest("a", "b").alias("rep"))
     near = equal.unionByName(hashed).where("block <> rep").distinct()
     stars = near.unionByName(near.select("block", F.col("block").alias("rep")).distinct())
     # only what shares a member of its prefix can be alike
-    sized = stars.join(blocks.select("rep", "size").distinct(), "rep").withColumn("group", F.col("rep"))
+    sized = stars.join(by_sort(blocks.select("rep", "size").distinct()), "rep").withColumn("group", F.col("rep"))
     first = _linked(cut(sized, "stars"), rows, threshold, cell_rows)
     groups = cut(components(first), "groups")
-    grouped = blocks.join(groups, blocks.rep == groups.node, "left").select("block", "rep", "size", F.coalesce("component", "rep").alias("group"))
+    grouped = blocks.join(by_sort(groups), blocks.rep == groups.node, "left").select("block", "rep", "size", F.coalesce("component", "rep").alias("group"))
     mixed = grouped.groupBy("block").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select(F.struct("block").alias("of"))
-    second = _linked(cut(grouped.join(mixed, F.struct("block") == F.col("of"), "left_semi"), "mixed"), rows, threshold, cell_rows)
+    second = _linked(cut(grouped.join(by_sort(mixed), F.struct("block") == F.col("of"), "left_semi"), "mixed"), rows, threshold, cell_rows)
     found = components(first.unionByName(second).unionByName(ids))
-    classes = reps.join(found, reps.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    return named.select("id", "sig").join(classes, "sig").select("id", "component")
+    classes = reps.join(by_sort(found), reps.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    return named.select("id", "sig").join(by_sort(classes), "sig").select("id", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -435,8 +435,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     with scratch(df.sparkSession) as keep:
         groups = keep(cut(similar_groups(df, id_col, text_col, width, threshold), "near-copies"))
     firsts = groups.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    plain = df.join(firsts.where("n = 1").select(F.col("id").alias(kept)), F.col(id_col) == F.col(kept), "left_semi")
-    twice = df.join(firsts.where("n > 1").select(F.col("id").alias(kept)), F.col(id_col) == F.col(kept), "left_semi")
+    plain = df.join(by_sort(firsts.where("n = 1").select(F.col("id").alias(kept))), F.col(id_col) == F.col(kept), "left_semi")
+    twice = df.join(by_sort(firsts.where("n > 1").select(F.col("id").alias(kept))), F.col(id_col) == F.col(kept), "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)))
     once = twice.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return plain.unionByName(once).unionByName(df.where(F.col(id_col).isNull())).select(*df.columns)

@@ -506,6 +506,20 @@ def chain_rows(fp, length):
     return {(start, fp & mask & ~clear) for start in range(5) for mask, clear in simhash.chain_keys(start, 4, length) if fp & clear == clear}
 
 
+def test_near_copies_send_no_table_to_the_driver(spark):
+    """Every broadcast of these tables is refused; the sizes that Spark goes by say nothing of the rows that an explode makes."""
+    texts = [" ".join(f"w{(k * 7 + j) % 50}" for j in range(20)) for k in range(12)] * 2 + [None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        prints = simhash.near_duplicates(docs).collect()
+        assert len(prints) == 25 and all(r.component <= r.id % 12 for r in prints if r.id < 24)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs).collect())[0] == 0 and simhash.keep_one(docs).where("doc_id between 12 and 23").count() == 0
+        assert len(components(spark.createDataFrame([(k + 1, k) for k in range(50)], "a long, b long")).collect()) == 51
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_every_close_print_meets_on_a_chain():
     rng = random.Random(4)
     for length in (2, 3):
