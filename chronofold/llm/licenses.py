@@ -6,8 +6,9 @@ templates whose size allows the wanted coefficient are compared: with Dice >= t,
 a and b satisfy t / (2 - t) <= a / b <= (2 - t) / t. The pruning is an equality join on the
 unit's size with a table of the sizes that each template allows. DataFrame functions only.
 
-A notice amid other words is in no unit of its own. Texts that hold enough of a template's
-bigrams anywhere are searched for windows, stretches of words that begin and end in bigrams
+Only texts that hold enough of some template's bigrams anywhere are looked at more closely;
+they are written to the shared folder first. A notice amid other words is in no unit of its
+own. These texts are also searched for windows, stretches of words that begin and end in bigrams
 of the template; of overlapping windows the likest is taken. A licence that has units in a
 text is not counted by windows there.
 """
@@ -15,12 +16,11 @@ text is not counted by windows there.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 # Customary licence notices.
 TEMPLATES = (
@@ -96,23 +96,45 @@ def template_table(spark: SparkSession, templates=TEMPLATES, threshold: float =
     return grams.select(F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("size"), "licence", "template", "grams")
 
 
-def _window_hits(df: DataFrame, id_col: str, text_col: str, templates, threshold: float) -> DataFrame:
-    """(id, licence, dice, n_units) by windows; a window has at most as many bigrams as its template allows."""
-    share = threshold / (2 - threshold)  # of a template's bigrams, in any window that is like it
-    cut = [re.findall(r"[^\W_]+", t.lower()) for _, t in templates]
-    every = sorted({f"{x} {y}" for w in cut for x, y in zip(w, w[1:])})
-    least = min(math.ceil(len(set(zip(w, w[1:]))) * share - 1e-9) for w in cut if len(w) > 1)
-    # explode(array(x)) computes x once a row: a filter pushed down would compute it again for every word
+def _pairs(w: str, known: list[str] | None = None) -> Column:
+    """Pairs of neighbouring words in their order, or those of them that are ``known``."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.concat_ws(" ", F.get(F.col(w), k - 1), F.get(F.col(w), k)))
+    return pairs if known is None else F.filter(pairs, lambda p: p.isin(known))
+
+
+def _held(df: DataFrame, id_col: str, text_col: str, templates, threshold: float) -> DataFrame:
+    """(id, text) of the texts that hold enough of a template's bigrams for a unit or a window to be like it.
+
+    Units and windows are stretches of the text's words. What is like a template shares
+    threshold / (2 - threshold) of the template's bigrams at least, and so does its text.
+    """
+    rows = template_table(df.sparkSession, templates, threshold).select("template", "grams").distinct().collect()
+    share = threshold / (2 - threshold)
+    need = [math.ceil(len(r.grams) * share - 1e-9) for r in rows]
     plain = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    if not rows:
+        return plain.where("false")
+    every = sorted({g for r in rows for g in r.grams})
+    # explode(array(x)) computes x once a row: a filter pushed down would compute it again for every word
     tokens = plain.select("id", "text", F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= 2)
-    ordered = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.get(F.col("w"), k - 1), F.get(F.col("w"), k)))
-    texts = tokens.select("id", "text", F.explode(F.array(ordered)).alias("grams")).where(F.size(F.array_intersect("grams", F.lit(every))) >= least)
-    wanted = template_table(df.sparkSession, templates, threshold).groupBy("template", "licence", "grams").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumnRenamed("grams", "wanted")
-    met = texts.select("id", F.sha2("text", 256).alias("doc"), "grams").crossJoin(F.broadcast(wanted))
-    held = met.where(F.size(F.array_intersect("grams", "wanted")) >= F.ceil(F.size("wanted") * F.lit(share) - F.lit(1e-9)))
-    places = held.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("wanted", F.get(F.col("grams"), i))))
-    starts = places.withColumn("i", F.explode("at"))
-    ends = starts.withColumn("j", F.explode(F.filter("at", lambda j: (j - F.col("i") + 1 >= F.col("low")) & (j - F.col("i") + 1 <= F.col("high")))))
+    known = tokens.select("id", "text", F.explode(F.array(F.array_distinct(_pairs("w", every)))).alias("known")).where(F.size("known") >= min(need))
+    wanted = F.array(*[F.struct(F.lit(r.grams).alias("grams"), F.lit(n).alias("need")) for r, n in zip(rows, need)])
+    return known.where(F.exists(wanted, lambda t: F.size(F.array_intersect(F.col("known"), t.grams)) >= t.need)).select("id", "text")
+
+
+def _window_hits(texts: DataFrame, templates, threshold: float) -> DataFrame:
+    """(id, licence, dice, n_units) by windows; a window has at most as many bigrams as its template allows."""
+    share = threshold / (2 - threshold)  # of a template's bigrams, in any window that is like it
+    tokens = texts.select("id", "text", F.explode(F.array(words("text"))).alias("w"))
+    grams = tokens.select("id", F.sha2("text", 256).alias("doc"), F.explode(F.array(_pairs("w"))).alias("grams"))
+    of = template_table(texts.sparkSession, templates, threshold).groupBy("template", "licence", "grams").agg(F.min("size").alias("low"), F.max("size").alias("high")).withColumnRenamed("grams", "wanted")
+    met = grams.crossJoin(F.broadcast(of.withColumn("need", F.ceil(F.size("wanted") * F.lit(share) - F.lit(1e-9)).cast("int"))))
+    held = met.where(F.size(F.array_intersect("grams", "wanted")) >= F.col("need"))
+    at = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("wanted", F.get(F.col("grams"), i)))
+    places = held.select("id", "doc", "grams", "licence", "wanted", "low", "high", "need", F.explode(F.array(at)).alias("at"))
+    # a window holds ``need`` of the places at least and ``high`` at most, so its end is among the next ones
+    starts = places.select("*", F.posexplode("at").alias("p", "i")).where(F.get("at", F.col("p") + F.col("need") - 1) - F.col("i") < F.col("high"))
+    ends = starts.withColumn("j", F.explode(F.filter(F.slice("at", F.col("p") + F.col("need"), F.greatest(F.col("high") - F.col("need") + 1, F.lit(0))), lambda j: (j - F.col("i") + 1 >= F.col("low")) & (j - F.col("i") + 1 <= F.col("high")))))
     sized = ends.select("id", "doc", "licence", "i", "j", "wanted", F.array_distinct(F.slice("grams", F.col("i") + 1, F.col("j") - F.col("i") + 1)).alias("own"))
     like = sized.withColumn("dice", 2 * F.size(F.array_intersect("own", "wanted")) / (F.size("own") + F.size("wanted"))).where(F.col("dice") >= threshold)
     found = F.sort_array(F.collect_set(F.struct("dice", "licence", "i", "j")), asc=False)
@@ -129,8 +151,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     reported under the null id; rows that share an id are reported together; a unit that is
     equally like two licences counts for the last by name; an empty table gives an empty result.
     """
-    pieces = F.array_union(F.split(text_of(text_col), "\n"), F.split(text_of(text_col), r"\n\s*\n"))
-    units = df.select(F.col(id_col).alias("id"), F.explode(pieces).alias("unit"))
+    texts = cut(_held(df, id_col, text_col, templates, threshold), "licence-texts")
+    pieces = F.array_union(F.split("text", "\n"), F.split("text", r"\n\s*\n"))
+    units = texts.select("id", F.explode(pieces).alias("unit"))
     # a unit with more distinct bigrams than any template allows can't match; long units are mostly that
     sized = units.withColumn("w", words("unit")).where(F.size("w") >= 2).withColumn("grams", bigrams(F.col("w"))).withColumn("size", F.size("grams")).select("id", "unit", "grams", "size")
     allowed = F.broadcast(template_table(df.sparkSession, templates, threshold).withColumnRenamed("grams", "wanted"))
@@ -141,7 +164,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     best = found.groupBy("id", "unit").agg(F.max(F.struct("dice", "licence")).alias("best"))
     per_unit = best.select("id", "best.licence", "best.dice")
     whole = per_unit.groupBy("id", "licence").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
-    amid = _window_hits(df, id_col, text_col, templates, threshold)
+    amid = _window_hits(texts, templates, threshold)
     both = whole.withColumn("_whole", F.lit(1)).unionByName(amid.withColumn("_whole", F.lit(0)))
     return both.groupBy("id", "licence").agg(F.max(F.struct("_whole", "dice", "n_units")).alias("best")).select("id", "licence", "best.dice", "best.n_units")
 

@@ -776,6 +776,17 @@ def test_licence_texts_and_notices_amid_words(spark):
     assert sorted((r.id, r.licence) for r in found) == [(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "Apache-2.0"), (6, "GPL-3.0"), (7, "ISC")]
 
 
+def test_only_texts_that_hold_enough_of_a_template_are_searched(spark):
+    """The rest, most of a corpus, is not held against every template; nothing that can be found is among it."""
+    name, notice = licenses.TEMPLATES[5]
+    cut_off = " ".join(notice.split()[: len(notice.split()) * 5 // 6])
+    docs = [(1, "under the law of the land and of the sea, " * 500), (2, "old words, " + notice + " and more of the same"), (3, "one\n" + cut_off), (4, None), (5, "word"), (None, notice), (6, notice), (6, "of the land")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    held = licenses._held(df, "doc_id", "text", licenses.TEMPLATES, licenses.THRESHOLD)
+    assert Counter(r.id for r in held.collect()) == Counter([2, 3, None, 6])
+    assert sorted((r.id or 0, r.licence, r.n_units) for r in licenses.scan(df).collect()) == [(0, name, 1), (2, name, 1), (3, name, 2), (6, name, 1)]  # 3 by its line and its paragraph
+
+
 # names and types that clash ---------------------------------------------------------------------------
 
 
