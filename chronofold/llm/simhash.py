@@ -233,13 +233,28 @@ def _common(df: DataFrame, id_col: str, text_col: str, width: int, docs: int = 8
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, width).view(np.int64))], ["h"])
 
     sample = df.where(F.pmod(F.xxhash64(F.lit(3), id_col, text_col), F.lit(every)) == 0).select(text_of(text_col).alias("text"))
-    counted = sample.mapInArrow(released(run), "h long").groupBy("h").count().where("count > 1")
-    rows = counted.orderBy(F.desc("count"), "h").limit(most).toPandas()
-    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    counted = cut(sample.mapInArrow(released(run), "h long").groupBy("h").count().where("count > 1"), "common")
+    rows = commonest(counted, most).toArrow()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
+def commonest(counted: DataFrame, most: int) -> DataFrame:
+    """The rows (h, count) of the highest counts, about ``most`` if there are more; of the last count's rows those with the lowest h.
+
+    Sorting with a limit would send the driver so many rows of every partition. It gets a
+    row for each distinct count instead, no more than there are texts in the sample.
+    """
+    room = most
+    for level in counted.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():
+        if level["n"] > room:  # hashes are even, so a share of their range holds that share of the rows
+            end = room * 2**64 // level["n"] - 2**63
+            return counted.where((F.col("count") > level["count"]) | ((F.col("count") == level["count"]) & (F.col("h") < end)))
+        room -= level["n"]
+    return counted
+
+
 def _prefixes(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
     """(id, sig, mark, size, fp, prefix, few, members): of each text's set of shingles two names, its size and SimHash, its rarest members, a sample, and all (32 bits each)."""
     hashes, counts = _common(df, id_col, text_col, width)

@@ -520,6 +520,28 @@ def test_near_copies_send_no_table_to_the_driver(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_the_order_of_prefixes_costs_the_driver_no_rows_of_every_partition(spark):
+    """Results beyond 400 kB are refused: the 6,000 commonest shingles of 60,000, not so many of each of 16 partitions."""
+    texts = [" ".join(f"{k}w{j}" for j in range(3004)) for k in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2 + texts[:1])], "doc_id long, text string")
+    limits = spark.sparkContext._jsc.sc().conf()
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    were = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        limits.set("spark.driver.maxResultSize", "400k")
+        hashes, counts = simhash._common(docs, "doc_id", "text", 5, most=6000)
+    finally:
+        limits.remove("spark.driver.maxResultSize")
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert set(simhash.shingles(texts[0]).tolist()) == set(hashes[counts == 3].tolist())
+    rest = sorted(h for t in texts[1:] for h in simhash.shingles(t).view(np.int64).tolist())
+    chosen = sorted(hashes[counts == 2].view(np.int64).tolist())
+    assert chosen == rest[: len(chosen)] and 2700 < len(chosen) < 3300 and (np.diff(hashes.view(np.int64)) != 0).all()
+
+
 def test_every_close_print_meets_on_a_chain():
     rng = random.Random(4)
     for length in (2, 3):
